@@ -44,7 +44,7 @@ class RowFormat:
         self.names = header.split(delimiter)
         self.fields = [fields.get(n, (None, "string")) for n in self.names]
         d = re.escape(delimiter)
-        self.any_field = rf'(?:[^"{d}]*+|"[^"]*+(?:""[^"]*+)*+")'
+        self.any_field = rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{d}]*+)'
         self.d = d
         parts = [self.any_field if p is None else rf'(?:{p}|"{p}")' for p, _ in self.fields]
         self.whole = rf"\A{d.join(parts)}\z"
@@ -80,12 +80,12 @@ def _unquote(field: Column) -> Column:
     return F.when(field.startswith('"'), F.replace(field.substr(F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
 
 
-def classify(rows: DataFrame, formats: list[RowFormat]) -> DataFrame:
+def classify(rows: DataFrame, formats: list[RowFormat], detail: bool = True) -> DataFrame:
     """Adds ``_fields array<string>`` (null unless valid), ``_quarantine_reason`` (null if valid) and ``_validation_errors``.
 
     ``rows`` needs ``_source_id`` and ``_original_row``. Reasons, the first that holds: ``broken_quoting``,
     ``column_count``, ``invalid_value``; a null row has no columns (``column_count``), a source without format is
-    ``unknown_source``. Extra columns pass through.
+    ``unknown_source``. Extra columns pass through. ``detail=False`` adds the reason only.
     """
     row = F.col("_original_row")
     many = F.length(row) - F.length(F.replace(row, F.lit('"'), F.lit(""))) > MAX_QUOTES
@@ -93,13 +93,16 @@ def classify(rows: DataFrame, formats: list[RowFormat]) -> DataFrame:
     for f in formats:
         n = len(f.names)
         regular = F.when(row.isNull(), "column_count").when(row.rlike(f.whole), None).when(~row.rlike(f.quoting), "broken_quoting").when(~row.rlike(f.count), "column_count").otherwise("invalid_value")
-        first_bad = reduce(lambda acc, k: acc.when(~row.rlike(f.prefixes[k]), F.lit(k)), range(1, n), F.when(~row.rlike(f.prefixes[0]), F.lit(0)))
-        named = F.element_at(F.array(*[F.lit(x) for x in f.names]), first_bad + 1)
-        got = F.array(*[_unquote(F.regexp_extract(row, p, 1)) for p in f.field_at])
         pieces = _pieces(row, f.delimiter)
         bad = F.array_compact(F.array(*[F.when(~F.get(pieces, F.lit(k)).rlike(rf"\A{p}\z"), F.lit(name)) for k, ((p, _), name) in enumerate(zip(f.fields, f.names)) if p is not None]))
         slow = F.when(pieces.isNull(), "broken_quoting").when(F.size(pieces) != n, "column_count").when(F.size(bad) > 0, "invalid_value")
         reason = F.when(many, slow).otherwise(regular)
+        if not detail:
+            states.append((f.source, reason))
+            continue
+        first_bad = reduce(lambda acc, k: acc.when(~row.rlike(f.prefixes[k]), F.lit(k)), range(1, n), F.when(~row.rlike(f.prefixes[0]), F.lit(0)))
+        named = F.element_at(F.array(*[F.lit(x) for x in f.names]), first_bad + 1)
+        got = F.array(*[_unquote(F.regexp_extract(row, p, 1)) for p in f.field_at])
         field = F.when(many, F.get(bad, F.lit(0))).otherwise(named)
         states.append((f.source, reason, field, F.when(many, pieces).otherwise(got), n))
 
@@ -108,6 +111,8 @@ def classify(rows: DataFrame, formats: list[RowFormat]) -> DataFrame:
 
     known = F.col("_source_id").isin([s[0] for s in states])
     out = rows.withColumn("_quarantine_reason", F.when(known, per_source(lambda s: s[1])).otherwise("unknown_source"))
+    if not detail:
+        return out
     bad_row = F.col("_quarantine_reason")
     width = per_source(lambda s: F.lit(s[4]))
     error = (

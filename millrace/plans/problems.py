@@ -38,14 +38,14 @@ def p5_messages(spark: SparkSession, d: str) -> DataFrame:
     return exactly_once.messages(table(spark, d, "deduplication_log")).select("_dedup_key", "_stage", "_row_id", "n_deliveries")
 
 
-def _p6(spark: SparkSession, d: str, *keep: str):
+def _p6(spark: SparkSession, d: str, *keep: str, detail: bool = True):
     formats = row_parse.formats_of(table(spark, d, "raw_formats"))
     rows = table(spark, d, "raw_rows").select("line_id", "_source_id", "_original_row", *keep).distinct()
-    return row_parse.classify(rows, formats), formats
+    return row_parse.classify(rows, formats, detail), formats
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d)[0].where("_quarantine_reason is not null").select("line_id", "_quarantine_reason").distinct()
+    return _p6(spark, d, detail=False)[0].where("_quarantine_reason is not null").select("line_id", "_quarantine_reason").distinct()
 
 
 def p6_valid(spark: SparkSession, d: str) -> DataFrame:
