@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import exactly_once, orphans, row_parse
+from millrace.operators import exactly_once, orphans, profile, row_parse, spikes
 from millrace.session import table
 
 
@@ -57,6 +57,33 @@ def p6_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return row_parse.quarantined(_p6(spark, d, "_batch_id")[0], ["line_id", "_batch_id", "_source_id"])
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flag_readings(table(spark, d, "quality_anomalies")).where("state <> 'normal'").select("_anomaly_id").distinct()
+
+
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading with the baseline, spread and state that its own series gives."""
+    return spikes.flag_readings(table(spark, d, "quality_anomalies"))
+
+
+SILVER = profile.ProfileSpec(
+    numeric=("customer_id", "age", "signup_date", "total_sales", "_quality_score", "_completeness_score", "_validity_score"),
+    text=("_cleaning_version", "email", "region", "city", "phone"),
+    patterns={"email": f"^{row_parse.EMAIL}$", "phone": r"^\+?[0-9][0-9 -]*$", "_cleaning_version": r"^[0-9]+(?:\.[0-9]+)*$"},
+)
+
+
+def p7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile of every load and column of the silver table."""
+    source = F.regexp_extract("_batch_id", r"^batch_(.*)_[^_]*_[^_]*$", 1)
+    return profile.profile(table(spark, d, "silver_customers"), "_row_id", "_batch_id", source, SILVER)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    changed = profile.departures(p7_profile(spark, d))
+    return changed.select(F.col("load").alias("_batch_id"), F.split_part("col", F.lit("#"), F.lit(1)).alias("column_name")).distinct()
+
+
 _UUID = "regexp_replace(lower(trim({})), '^urn:uuid:|[{{}}()\\s-]', '', 'g')"
 
 P3_CTE = f"""
@@ -72,7 +99,7 @@ r AS (SELECT DISTINCT s._row_id, s._cleaned_at, '_bronze_row_id' AS ref_field, C
 """
 _P5 = "WITH m AS (SELECT regexp_replace(lower(_dedup_key), '^\\s*(sha256:)?|\\s+', '', 'g') AS k, _stage, _processed_at, _row_id FROM deduplication_log), g AS (SELECT k AS _dedup_key, _stage, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id NULLS LAST) AS _row_id, count(*) AS n_deliveries FROM m WHERE regexp_full_match(k, '[0-9a-f]{64}') GROUP BY 1, 2) "
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
     "p3_found": P3_CTE + "SELECT DISTINCT _row_id, ref_field, kind FROM r WHERE kind IS NOT NULL",
     "p3_counts": P3_CTE + "SELECT 'silver_customers' AS table_name, ref_field, kind, strftime(_cleaned_at, '%Y-%m') AS month, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL",
