@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import exactly_once, orphans, profile, row_parse, spikes
+from millrace.operators import exactly_once, orphans, profile, row_parse, schema_drift, spikes
 from millrace.session import table
 
 
@@ -84,6 +84,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return changed.select(F.col("load").alias("_batch_id"), F.split_part("col", F.lit("#"), F.lit(1)).alias("column_name")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = schema_drift.lifespans(table(spark, d, "schema_contract"))
+    return schema_drift.changes(spans).select("source_id", "schema_version", "field_name", "change_type").distinct()
+
+
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every change with old name and both types."""
+    return schema_drift.changes(schema_drift.lifespans(table(spark, d, "schema_contract")))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """All source records in one table."""
+    spans = schema_drift.lifespans(table(spark, d, "schema_contract"))
+    return schema_drift.unify(table(spark, d, "source_records"), table(spark, d, "extraction_checkpoints"), spans, schema_drift.changes(spans))
+
+
 _UUID = "regexp_replace(lower(trim({})), '^urn:uuid:|[{{}}()\\s-]', '', 'g')"
 
 P3_CTE = f"""
@@ -99,7 +115,7 @@ r AS (SELECT DISTINCT s._row_id, s._cleaned_at, '_bronze_row_id' AS ref_field, C
 """
 _P5 = "WITH m AS (SELECT regexp_replace(lower(_dedup_key), '^\\s*(sha256:)?|\\s+', '', 'g') AS k, _stage, _processed_at, _row_id FROM deduplication_log), g AS (SELECT k AS _dedup_key, _stage, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id NULLS LAST) AS _row_id, count(*) AS n_deliveries FROM m WHERE regexp_full_match(k, '[0-9a-f]{64}') GROUP BY 1, 2) "
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
     "p3_found": P3_CTE + "SELECT DISTINCT _row_id, ref_field, kind FROM r WHERE kind IS NOT NULL",
     "p3_counts": P3_CTE + "SELECT 'silver_customers' AS table_name, ref_field, kind, strftime(_cleaned_at, '%Y-%m') AS month, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL",
