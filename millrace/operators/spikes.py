@@ -203,7 +203,7 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     case), identical rows count once, ties in time are ordered by id, a null source or metric is a series of its own.
     Empty tables give no rows; other columns are not read.
     """
-    rows = readings.select("_anomaly_id", "_source_id", "_metric", "_detected_at", F.col("_value").cast("double").alias("_value")).where("_value is not null").distinct()
+    rows = readings.select("_anomaly_id", "_source_id", "_metric", F.col("_detected_at").cast("timestamp").alias("_detected_at"), F.col("_value").cast("double").alias("_value")).where("_value is not null").distinct()
     at = F.unix_micros("_detected_at")
     series = F.concat_ws("\u0001", F.coalesce("_source_id", F.lit("\u0002")), F.coalesce("_metric", F.lit("\u0002")))
     rows = rows.withColumn("series", series).withColumn("at", F.coalesce(at, F.lit(0)))
