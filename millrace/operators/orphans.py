@@ -85,6 +85,6 @@ def reference_problems(child: DataFrame, id_col: str, time_col: str, ref_col: st
 
     bad = orphan_references(keyed(child, ref_col, time_col), keyed(parent, parent_key, parent_time), keyed(tombstones, "target_key", None))
     space, k = parts(F.col(ref_col).cast("string"))
-    rows = child.select(id_col, time_col, space.alias("space"), k.alias("key")).where("space is not null and key is not null")
-    kind = F.when(~F.col("found"), F.when(F.col("deleted"), "deleted").otherwise("missing")).when(F.col("parent_at") > F.col(time_col), "late")
-    return rows.join(bad, ["space", "key"]).select(id_col, F.lit(ref_col).alias("ref_field"), kind.alias("kind"), time_col).where("kind is not null").distinct()
+    rows = child.select(F.col(id_col).alias("__id"), F.col(time_col).cast("timestamp").alias("__at"), space.alias("space"), k.alias("key")).where("space is not null and key is not null")
+    kind = F.when(~F.col("found"), F.when(F.col("deleted"), "deleted").otherwise("missing")).when(F.col("parent_at") > F.col("__at"), "late")
+    return rows.join(bad, ["space", "key"]).select(F.col("__id").alias(id_col), F.lit(ref_col).alias("ref_field"), kind.alias("kind"), F.col("__at").alias(time_col)).where("kind is not null").distinct()

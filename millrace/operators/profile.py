@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from millrace.session import materialise
 
 PIECE_VALUES, SALT_ROWS, MAX_SPLITS = 200_000, 50_000, 1_000_000
+#: Loads of one piece that are compared in one task; a piece of few values may be shared by very many loads.
+PIECE_LOADS = 50_000
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -43,6 +45,11 @@ def _shape(values: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(local, rest, "")
 
 
+def _text_hash(values: np.ndarray) -> np.ndarray:
+    """Texts have no natural order here; they are sorted by this hash, then by themselves, in however many pieces."""
+    return pd.util.hash_array(values, categorize=False)
+
+
 _PACK = "src string, col string, piece int, load string, nums array<double>, strs array<string>, counts array<int>, n bigint, n_null bigint, n_bad bigint"
 
 
@@ -53,7 +60,7 @@ def _pack(spec: ProfileSpec, pieces: int, splits: dict[tuple[str, str], list[flo
         for b in batches:
             if not b.num_rows:
                 continue
-            src, load = b["src"].to_pylist(), b["load"].to_pylist()
+            src, load = b["__src"].to_pylist(), b["__load"].to_pylist()
             where = np.flatnonzero(np.r_[True, [x != y for x, y in zip(load[1:], load[:-1])]])
             group = np.repeat(np.arange(len(where)), np.diff(np.r_[where, len(load)]))
             g_src, g_load = [src[i] for i in where], [load[i] for i in where]
@@ -105,18 +112,23 @@ def _pack(spec: ProfileSpec, pieces: int, splits: dict[tuple[str, str], list[flo
                     bad = (~pc.match_substring_regex(raw, spec.patterns[c]).to_numpy(zero_copy_only=False).astype(bool)).astype(float)
                 for name, values in ((c, raw), *(((f"{c}#form", _shape(raw)),) if c in spec.patterns else ())):
                     v = np.array(values.to_pylist(), dtype=object)
-                    piece = (pd.util.hash_array(v, categorize=False) % np.uint64(pieces)).astype(np.int32) if pieces > 1 and len(v) else np.zeros(len(v), np.int32)
+                    piece = ((_text_hash(v) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int32) if pieces > 1 and len(v) else np.zeros(len(v), np.int32)
                     emit(name, v, ok, piece, bad if name == c else None, True)
             yield pa.RecordBatch.from_arrays([pa.array(out["src"], pa.string()), pa.array(out["col"], pa.string()), pa.array(out["piece"], pa.int32()), pa.array(out["load"], pa.string()), pa.array(out["nums"], pa.list_(pa.float64())), pa.array(out["strs"], pa.list_(pa.string())), pa.array(out["counts"], pa.list_(pa.int32())), pa.array(out["n"], pa.int64()), pa.array(out["n_null"], pa.int64()), pa.array(out["n_bad"], pa.int64())], names)
 
     return run
 
 
+_VALUES = "array<struct<num:double,str:string,count:bigint>>"
 _PART = "src string, col string, load string, up double, down double, n_distinct bigint, lo string, hi string, lo_num double, hi_num double, q array<double>"
 
 
 def _piece(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Partial results of one piece; ``left`` packed rows, ``right`` counts before the piece and totals per load."""
+    """Partial results of one piece, or of a group of its loads.
+
+    ``left`` packed rows; ``right`` counts before the piece and totals per load, and for a group of loads a row without
+    load that holds the counts of all values of the piece.
+    """
     names = [f.split(" ")[0] for f in _PART.split(", ")]
     empty = {n: [] for n in names}
     types = [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()] + [pa.string()] * 2 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
@@ -124,6 +136,8 @@ def _piece(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return pa.table({n: pa.array([], t) for n, t in zip(names, types)}, schema=schema)
     left, right = left.combine_chunks(), right.combine_chunks()
+    whole = right.filter(pc.is_null(right["load"]))
+    right = right.filter(pc.is_valid(right["load"]))
     text = left["nums"].null_count == left.num_rows
     codes = {x: i for i, x in enumerate(right["load"].to_pylist())}
     lists = left["strs" if text else "nums"]
@@ -132,13 +146,27 @@ def _piece(left: pa.Table, right: pa.Table) -> pa.Table:
     values = pc.list_flatten(lists)
     values = np.array(values.to_pylist(), dtype=object) if text else values.to_numpy(zero_copy_only=False)
     count = pc.list_flatten(left["counts"]).to_numpy(zero_copy_only=False).astype(np.int64)
-    distinct, code = np.unique(values, return_inverse=True)
+    if whole.num_rows:
+        every = whole["values"][0].as_py()
+        known = np.array([v["str" if text else "num"] for v in every], dtype=object if text else float)
+        distinct, place = np.unique(known, return_inverse=True)
+        total = np.bincount(place, weights=[v["count"] for v in every], minlength=len(distinct)).astype(np.int64)
+        code = np.searchsorted(distinct, values)
+    else:
+        distinct, code = np.unique(values, return_inverse=True)
+        total = None
+    if text and len(distinct):
+        by_hash = np.argsort(_text_hash(distinct), kind="stable")
+        place = np.empty(len(distinct), np.int64)
+        place[by_hash] = np.arange(len(distinct))
+        distinct, code = distinct[by_hash], place[code]
+        total = total[by_hash] if total is not None else None
     key = code.astype(np.int64) * len(codes) + load
     key, back = np.unique(key, return_inverse=True)
     count = np.bincount(back, weights=count).astype(np.int64)
     code, load = key // len(codes), key % len(codes)
     before_load, before_all, n_load, n_all = (right[c].to_numpy() for c in ("before_load", "before_all", "n_load", "n_all"))
-    per_value = np.bincount(code, weights=count, minlength=len(distinct)).astype(np.int64)
+    per_value = np.bincount(code, weights=count, minlength=len(distinct)).astype(np.int64) if total is None else total
     upto = np.cumsum(per_value)
     all_le, all_lt = before_all[load] + upto[code], before_all[load] + (upto - per_value)[code]
     order = np.argsort(load, kind="stable")
@@ -167,12 +195,18 @@ def _piece(left: pa.Table, right: pa.Table) -> pa.Table:
             ranks = np.ceil(np.array(QUANTILES) * nl[a])
             hit = np.searchsorted(le[a:z], ranks)
             q = [float(vals[a + h]) if h < z - a and lt[a + h] < r else None for h, r in zip(hit, ranks)]
-        first, last = vals[a], vals[z - 1]
+        first, last = (min(vals[a:z]), max(vals[a:z])) if text else (vals[a], vals[z - 1])
         for k, x in zip(names, (src, col, loads[ld[a]], max(ups[i], 0.0), max(downs[i], 0.0), int(z - a), str(first) if text else None, str(last) if text else None, None if text else float(first), None if text else float(last), q)):
             out[k].append(x)
     return pa.table({n: pa.array(out[n], t) for n, t in zip(names, types)}, schema=schema)
 
 
+def crowded(sized: DataFrame) -> DataFrame:
+    """Pieces that more than ``PIECE_LOADS`` loads share, and into how many groups of loads each is split."""
+    loads = sized.groupBy("src", "col", "piece").agg(F.count("*").alias("n"))
+    return loads.where(F.col("n") > PIECE_LOADS).select("src", "col", "piece", F.ceil(F.col("n") / PIECE_LOADS).cast("int").alias("salts"))
+
+
 def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: ProfileSpec) -> DataFrame:
     """One row per load and column.
 
@@ -186,31 +220,42 @@ def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: Profi
     def number(c: str) -> Column:
         return (F.unix_date(c) if rows.schema[c].dataType.typeName() == "date" else F.col(c)).cast("double").alias(c)
 
-    base = rows.where(F.col(load).isNotNull()).select(F.coalesce(source, F.lit("?")).alias("src"), F.col(load).alias("load"), F.xxhash64(row_id).alias("id"), *[number(c) for c in spec.numeric], *[F.col(c).cast("string").alias(c) for c in spec.text])
+    base = rows.where(F.col(load).isNotNull()).select(F.coalesce(source, F.lit("?")).alias("__src"), F.col(load).cast("string").alias("__load"), F.xxhash64(row_id).alias("__id"), *[number(c) for c in spec.numeric], *[F.col(c).cast("string").alias(c) for c in spec.text])
     total = rows.count()
     pieces = max(1, -(-total // PIECE_VALUES))
     splits: dict[tuple[str, str], list[float]] = {}
     if pieces > 1:
-        sources = base.select("src").distinct().count()
+        sources = base.select("__src").distinct().count()
         pieces = max(1, min(pieces, MAX_SPLITS // max(1, sources * len(spec.numeric))))
         probs = [k / pieces for k in range(1, pieces)]
-        cuts = base.groupBy("src").agg(*[F.percentile_approx(F.when(F.isnan(c), None).otherwise(F.col(c)), probs, 2000).alias(c) for c in spec.numeric])
+        cuts = base.groupBy("__src").agg(*[F.percentile_approx(F.when(F.isnan(c), None).otherwise(F.col(c)), probs, 2000).alias(c) for c in spec.numeric])
         for r in cuts.collect():  # at most MAX_SPLITS numbers
-            splits.update({(r["src"], c): sorted(set(r[c] or [])) for c in spec.numeric})
-    large = base.groupBy("load").count().where(F.col("count") > SALT_ROWS).select("load", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    salted = base.join(large, "load", "left").withColumn("salt", F.pmod("id", F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    once = salted.repartition("load", "salt").distinct().sortWithinPartitions("load")
+            splits.update({(r["__src"], c): sorted(set(r[c] or [])) for c in spec.numeric})
+    large = base.groupBy("__load").count().where(F.col("count") > SALT_ROWS).select("__load", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("__salts"))
+    salted = base.join(large, "__load", "left").withColumn("__salt", F.pmod("__id", F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    once = salted.repartition("__load", "__salt").distinct().sortWithinPartitions("__load")
     packed = materialise(once.mapInArrow(_pack(spec, pieces, splits), _PACK), "packed")
 
     sized = packed.where("piece >= 0").groupBy("src", "col", "piece", "load").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("src", "col", "load")
     per_load = sized.select("*", (F.sum("n").over(w.orderBy("piece")) - F.col("n")).alias("before_load"), F.sum("n").over(w).alias("n_load"))
-    per_piece = sized.groupBy("src", "col", "piece").agg(F.sum("n").alias("n_piece"))
+    per_piece = sized.groupBy("src", "col", "piece").agg(F.sum("n").alias("n_piece"), F.count("*").alias("n_loads"))
     wp = Window.partitionBy("src", "col")
     per_piece = per_piece.select("src", "col", "piece", (F.sum("n_piece").over(wp.orderBy("piece")) - F.col("n_piece")).alias("before_all"), F.sum("n_piece").over(wp).alias("n_all"))
     counts = per_load.join(per_piece, ["src", "col", "piece"]).select("src", "col", "piece", "load", "before_load", "before_all", "n_load", "n_all").toDF("src_", "col_", "piece_", "load", "before_load", "before_all", "n_load", "n_all")
     keys = ["src", "col", "piece"]
-    parts = packed.where("piece >= 0").select(*keys, "load", "nums", "strs", "counts").groupBy(*keys).cogroup(counts.groupBy("src_", "col_", "piece_")).applyInArrow(_piece, _PART)
+    left = packed.where("piece >= 0").select(*keys, "load", "nums", "strs", "counts").withColumn("salt", F.lit(0))
+    right = counts.withColumn("salt_", F.lit(0)).withColumn("values", F.lit(None).cast(_VALUES))
+    shared = crowded(sized).collect()  # one row per PIECE_LOADS loads of a piece at most
+    if shared:
+        hot = F.broadcast(packed.sparkSession.createDataFrame([tuple(r) for r in shared], "src string, col string, piece int, salts int"))
+        totals = left.join(hot, keys).select(*keys, "salts", F.explode(F.arrays_zip(F.coalesce("nums", F.array_repeat(F.lit(None).cast("double"), F.size("counts"))).alias("num"), F.coalesce("strs", F.array_repeat(F.lit(None).cast("string"), F.size("counts"))).alias("str"), F.col("counts").alias("count"))).alias("v"))
+        totals = totals.groupBy(*keys, "salts", F.col("v.num").alias("num"), F.col("v.str").alias("str")).agg(F.sum("v.count").alias("count")).groupBy(*keys, "salts").agg(F.collect_list(F.struct("num", "str", "count")).alias("values"))
+        spread = totals.select(F.col("src").alias("src_"), F.col("col").alias("col_"), F.col("piece").alias("piece_"), "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_"))
+        left = left.join(hot, keys, "left").withColumn("salt", F.pmod(F.hash("load"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        hot_ = hot.toDF("src_", "col_", "piece_", "salts")
+        right = right.join(hot_, ["src_", "col_", "piece_"], "left").withColumn("salt_", F.pmod(F.hash("load"), F.coalesce("salts", F.lit(1)))).drop("salts").unionByName(spread, allowMissingColumns=True)
+    parts = left.groupBy(*keys, "salt").cogroup(right.groupBy("src_", "col_", "piece_", "salt_")).applyInArrow(_piece, _PART)
     values = parts.groupBy("src", "col", "load").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("n_distinct").alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_num").alias("lo_num"), F.max("hi_num").alias("hi_num"), F.array(*[F.max(F.get("q", F.lit(i))) for i in range(len(QUANTILES))]).alias("q"))
     cells = packed.groupBy("src", "col", "load").agg((F.sum("n") + F.sum("n_null")).alias("n_rows"), F.sum("n_null").alias("n_null"), F.sum("n_bad").alias("n_bad"))
     both = cells.join(values, ["src", "col", "load"], "left").fillna(0, ["up", "down", "n_distinct"])

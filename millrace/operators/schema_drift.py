@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 # Names of types in the dialects of the sources, by contract type.
 TYPE_ALIASES = {
     "string": "string str text varchar char character bpchar nvarchar uuid fixedstring character_varying lowcardinality enum8 enum16",
@@ -97,17 +99,26 @@ def changes(spans: DataFrame) -> DataFrame:
 def field_names(spans: DataFrame, changed: DataFrame) -> DataFrame:
     """``source_id, schema_version, names map<name, struct<field, type>>``: each version's names in terms of the last name and type.
 
-    The chain of renames of a field is followed inside one row per source (its list of renames in version order,
-    as long as the source has contract versions), not by a loop of joins.
+    Each lifespan of a name points to the lifespan that a rename goes on with; pointer jumping (as many joins as the
+    logarithm of the most renames of a source) leads every lifespan to its last one, so no source is folded in one task.
     """
-    renames = changed.where("change_type = 'renamed'").join(spans.select("source_id", "schema_version", "pos").distinct(), ["source_id", "schema_version"])
-    chain = renames.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "old_name", "field_name"))).alias("chain"))
-    named = spans.where("name is not null").join(chain, "source_id", "left")
-    follow = F.expr("aggregate(filter(coalesce(chain, array()), r -> r.pos > pos), name, (n, r) -> IF(r.old_name = n, r.field_name, n))")
-    placed = named.withColumn("field", follow)
-    final = placed.groupBy("source_id", "field").agg(F.max_by("type", "pos").alias("final_type"))
-    out = placed.join(final, ["source_id", "field"]).groupBy("source_id", "schema_version").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("field", F.col("final_type").alias("type"))))).alias("names"))
-    return out
+    fields = spans.where("name is not null")
+    w = Window.partitionBy("source_id", "name").orderBy("pos")
+    before = F.lag("pos").over(w)
+    starts = fields.withColumn("begin", F.when(before.isNull() | (before < F.col("pos") - 1), F.col("pos"))).withColumn("begin", F.last("begin", True).over(w))
+    lives = starts.groupBy("source_id", "name", "begin").agg(F.max("pos").alias("end"), F.max_by("type", "pos").alias("type"))
+    at = spans.select("source_id", "schema_version", "pos").distinct()
+    renames = changed.where("change_type = 'renamed'").join(at, ["source_id", "schema_version"]).select("source_id", F.col("old_name").alias("name"), (F.col("pos") - 1).alias("end"), F.col("field_name").alias("to_name"), F.col("pos").alias("to_begin"))
+    most = renames.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0
+    goes = lives.join(renames, ["source_id", "name", "end"], "left").select("source_id", "name", "begin", "type", F.coalesce("to_name", "name").alias("to_name"), F.coalesce("to_begin", "begin").alias("to_begin"))
+    goes = materialise(goes, "lives")
+    for _ in range(int(most).bit_length()):
+        ahead = goes.select("source_id", F.col("name").alias("to_name"), F.col("begin").alias("to_begin"), F.col("to_name").alias("far_name"), F.col("to_begin").alias("far_begin"))
+        goes = materialise(goes.join(ahead, ["source_id", "to_name", "to_begin"]).select("source_id", "name", "begin", "type", F.col("far_name").alias("to_name"), F.col("far_begin").alias("to_begin")), "lives")
+    last = goes.select("source_id", F.col("name").alias("to_name"), F.col("begin").alias("to_begin"), F.col("type").alias("final_type"))
+    final = goes.join(last, ["source_id", "to_name", "to_begin"]).select("source_id", "name", "begin", F.col("to_name").alias("field"), "final_type")
+    named = starts.join(final, ["source_id", "name", "begin"])
+    return named.groupBy("source_id", "schema_version").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("field", F.col("final_type").alias("type"))))).alias("names"))
 
 
 def cast_text(value: Column, kind: Column) -> Column:

@@ -256,7 +256,7 @@ transformation_rules:
 
 @query(
     f"WITH a AS (SELECT _row_id, regexp_replace(regexp_replace(region, '^\\s+', ''), '\\s+$', '') AS region, regexp_replace(regexp_replace(age, '^\\s+', ''), '\\s+$', '') AS age FROM bronze_customers), b AS (SELECT _row_id, region, age AS t, {_NUM} AS age FROM a) "
-    "SELECT _row_id, age, CASE WHEN age BETWEEN 0 AND 29 AND region = 'Westmoor' THEN 'Young Westmoor' ELSE region END AS region, 1 + CAST(age IS NOT NULL AS INTEGER) + CAST(coalesce(age BETWEEN 0 AND 29, false) AS INTEGER) AS n_applied, CAST(t IS NOT NULL AND age IS NULL AS INTEGER) AS n_errors, CASE WHEN t IS NOT NULL AND age IS NULL THEN 0.95 ELSE 1.0 END AS score FROM b"
+    "SELECT _row_id, age, CASE WHEN age BETWEEN 0 AND 29 AND region = 'Westmoor' THEN 'Young Westmoor' ELSE region END AS region, 1 + CAST(age IS NOT NULL AS INTEGER) + CAST(coalesce(age BETWEEN 0 AND 29, false) AS INTEGER) AS n_applied, CAST(t IS NOT NULL AND age IS NULL AS INTEGER) AS n_errors, CAST(CASE WHEN t IS NOT NULL AND age IS NULL THEN 0.95 ELSE 1.0 END AS DOUBLE) AS score FROM b"
 )
 def rule_engine_chain(spark, d):
     """Rules from YAML: order by priority, conditions on the current row, errors that leave the row as it was."""
@@ -322,7 +322,7 @@ def _scored(spark, d):
     return quality.score_rows(df, _REQ, F.coalesce(F.size("_warnings"), F.lit(0)))
 
 
-@query(f"SELECT _row_id, round({_C}, 4) AS c, round({_V}, 4) AS v, round(0.4 * {_C} + 0.6 * {_V}, 4) AS q FROM silver_customers")
+@query(f"SELECT _row_id, round({_C}, 4) AS c, round(CAST({_V} AS DOUBLE), 4) AS v, round(0.4 * {_C} + 0.6 * {_V}, 4) AS q FROM silver_customers")
 def quality_row(spark, d):
     return _scored(spark, d).select("_row_id", F.round("_completeness_score", 4).alias("c"), F.round("_validity_score", 4).alias("v"), F.round("_quality_score", 4).alias("q"))
 

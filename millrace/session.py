@@ -6,14 +6,32 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that none needs it installed or on its path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="millrace-code-")  # on the driver only; Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/millrace.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"millrace/{f.relative_to(root)}")
+    sc.addPyFile(f"{folder}/millrace.zip")
+    sc._millrace_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,7 +80,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def local_session(cores: int = 8, memory: str = "6g", partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millrace")
         .config("spark.driver.memory", memory)
@@ -73,3 +91,5 @@ def local_session(cores: int = 8, memory: str = "6g", partitions: int = 8) -> Sp
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
