@@ -115,4 +115,4 @@ def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(flags)], [id_col])
 
     rows = df.select(id_col, text_col)
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}")
