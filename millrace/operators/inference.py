@@ -94,6 +94,10 @@ def infer_types(df: DataFrame, strategy: str = "conservative") -> dict[str, tupl
 SPARK_OF = {"Bool": "boolean", "Float64": "double", "DateTime64(3)": "timestamp", "Date": "date", "Int8": "tinyint", "Int16": "smallint", "Int32": "int", "Int64": "bigint", "UInt8": "smallint", "UInt16": "int", "UInt32": "bigint", "UInt64": "decimal(20,0)", "String": "string"}
 
 
+def _element(kind: str):
+    return lambda x: F.trim(x).try_cast(kind)
+
+
 def typed(df: DataFrame, types: dict[str, tuple[str, float]]) -> DataFrame:
     """Cast text columns to their inferred types; a value that does not fit becomes null."""
     cols = []
@@ -104,7 +108,7 @@ def typed(df: DataFrame, types: dict[str, tuple[str, float]]) -> DataFrame:
             cols.append(c)
         elif kind.startswith("Array("):
             element = {"Int64": "bigint", "Float64": "double", "String": "string"}[kind[6:-1]]
-            cols.append(F.transform(F.split(c, ","), lambda x, e=element: F.trim(x).try_cast(e)).alias(f.name))
+            cols.append(F.transform(F.split(c, ","), _element(element)).alias(f.name))
         else:
             cols.append(F.trim(c).try_cast(SPARK_OF[kind]).alias(f.name))
     return df.select(*cols)

@@ -265,24 +265,40 @@ def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: Profi
 
 
 def departures(profiled: DataFrame, min_rows: int = 50) -> DataFrame:
-    """``load, col, reason`` of the columns of loads of at least ``min_rows`` rows that clearly depart from the source's other loads.
+    """``load, col, reasons`` and the profile of the columns of loads of at least ``min_rows`` rows that clearly depart from the source's other loads.
 
-    Each test needs a large effect and one that chance hardly gives: the null share or the share of pattern
-    violations by a binomial deviation, the distinct share of nearly unique columns, and the distance of the
-    cumulative curves scaled by the sizes of both sides (Kuiper's for texts, which have no natural order).
+    Each test needs a large effect and one that chance hardly gives: the null share or the share of pattern violations
+    by a binomial deviation, the distinct share of nearly unique columns, and the distance of the cumulative curves
+    scaled by the sizes of both sides (Kuiper's for texts, which have no natural order). Where other loads of the source
+    seem to depart too, what they can have added to the effect is taken off, so that one bad load among few does not
+    make its neighbours look bad; of two loads alone neither is called bad.
     """
     n, o = F.col("n_rows").cast("double"), F.greatest(F.col("o_rows").cast("double"), F.lit(1.0))
     filled, ofilled = F.col("n_rows") - F.col("n_null"), F.col("o_rows") - F.col("o_null")
 
-    def rate(x: str) -> Column:
-        mine, theirs = F.col(f"n_{x}") / n, F.col(f"o_{x}") / o
-        noise = F.sqrt(F.greatest(theirs * (1 - theirs), F.lit(0.01)) * (1 / n + 1 / o))
-        return (F.abs(mine - theirs) >= 0.12) & (F.abs(mine - theirs) / noise >= 5)
+    def gap(x: str) -> Column:
+        return F.abs(F.col(f"n_{x}") / n - F.col(f"o_{x}") / o)
 
-    share, oshare = F.col("n_distinct") / filled, F.col("o_distinct") / F.greatest(ofilled, F.lit(1))
-    distinct = (filled >= 30) & (oshare >= 0.85) & (oshare - share >= 0.15)
+    def noise(x: str) -> Column:
+        theirs = F.col(f"o_{x}") / o
+        return F.sqrt(F.greatest(theirs * (1 - theirs), F.lit(0.01)) * (1 / n + 1 / o))
+
+    share, oshare = F.col("n_distinct") / F.greatest(filled, F.lit(1)), F.col("o_distinct") / F.greatest(ofilled, F.lit(1))
     weight = F.sqrt(filled * ofilled / F.greatest(filled + ofilled, F.lit(1)))
     text = F.col("lo_num").isNull()
-    apart = (filled >= 30) & (ofilled >= 30) & F.when(text, (F.col("kuiper") >= 0.2) & (F.col("kuiper") * weight >= 2.9)).otherwise((F.col("ks") >= 0.17) & (F.col("ks") * weight >= 2.4))
-    reason = F.array_compact(F.array(F.when(rate("null"), "nulls"), F.when(rate("bad"), "pattern"), F.when(distinct, "distinct"), F.when(apart, "distribution")))
-    return profiled.where((n >= min_rows) & (F.col("o_loads") > 0) & (F.col("o_rows") >= min_rows)).withColumn("reasons", reason).where(F.size("reasons") > 0)
+    enough = (filled >= 30) & (ofilled >= 30)
+    effects = {
+        "nulls": (gap("null"), F.lit(0.12), F.lit(True), noise("null") * 5),
+        "pattern": (gap("bad"), F.lit(0.12), F.lit(True), noise("bad") * 5),
+        "distinct": (oshare - share, F.lit(0.15), (filled >= 30) & (oshare >= 0.8), F.lit(0.0)),
+        "distribution": (F.when(text, F.col("kuiper")).otherwise(F.col("ks")), F.when(text, 0.2).otherwise(0.17), enough, F.when(text, 2.9).otherwise(2.4) / F.greatest(weight, F.lit(1e-9))),
+    }
+    able = profiled.where((n >= min_rows) & (F.col("o_loads") > 0) & (F.col("o_rows") >= min_rows))
+    for k, (effect, least, when, by_chance) in effects.items():
+        able = able.withColumns({f"e_{k}": effect, f"need_{k}": F.greatest(least, by_chance), f"on_{k}": when})
+        able = able.withColumn(f"hit_{k}", F.coalesce(F.col(f"on_{k}") & (F.col(f"e_{k}") >= F.col(f"need_{k}")), F.lit(False)))
+    some = able.where(" or ".join(f"hit_{k}" for k in effects))
+    sums = some.groupBy(F.col("src").alias("src_"), F.col("col").alias("col_")).agg(*[F.sum(F.when(F.col(f"hit_{k}"), n * F.col(f"e_{k}")).otherwise(0.0)).alias(f"sum_{k}") for k in effects])
+    checked = some.join(sums, (F.col("src") == F.col("src_")) & (F.col("col") == F.col("col_"))).drop("src_", "col_")
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"hit_{k}") & (F.col(f"e_{k}") - (F.col(f"sum_{k}") - n * F.col(f"e_{k}")) / o >= F.col(f"need_{k}")), k) for k in effects]))
+    return checked.withColumn("reasons", reasons).where(F.size("reasons") > 0).select(*profiled.columns, "reasons")

@@ -155,7 +155,8 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
             held, carried = [], 0
             return g, report
         report[len(g) - MARGIN :] = False
-        held, carried = [g.iloc[len(g) - 2 * MARGIN :]], MARGIN
+        start = max(0, len(g) - 2 * MARGIN)
+        held, carried = [g.iloc[start:]], len(g) - MARGIN - start
         return g, report
 
     last = None
@@ -169,7 +170,7 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
                 yield cut(True)
             held.append(f.iloc[a:b])
             last = key[a]
-            if sum(map(len, held)) >= PIECE_READINGS:
+            if sum(map(len, held)) >= max(PIECE_READINGS, 4 * MARGIN):
                 yield cut(False)
     if held:
         yield cut(True)

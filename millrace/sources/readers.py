@@ -26,7 +26,7 @@ def detect_encoding(path: str, size: int = 1024) -> str:
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16"
     for e in ENCODINGS:
-        for cut in range(4):  # a character may be cut at the end of the head
+        for cut in range(4 if len(head) == size else 1):  # a character may be cut at the end of the head
             try:
                 head[: len(head) - cut].decode(e)
                 return e
