@@ -49,8 +49,47 @@ def fill(remaining: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit in decreasing order over the histogram: equal containers are filled together."""
+    kinds: dict[tuple[tuple[int, int], ...], int] = {}
+    room: dict[tuple[tuple[int, int], ...], int] = {}
+
+    def put(kind: tuple, space: int, length: int, per: int, times: int) -> None:
+        new = (*kind, (length, per))
+        kinds[new] = kinds.get(new, 0) + times
+        room[new] = space - length * per
+
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        for kind in sorted((k for k in kinds if room[k] >= length), key=room.__getitem__):
+            per = room[kind] // length
+            times = min(kinds[kind], left // per)
+            rest = left - times * per
+            one = 1 if times < kinds[kind] and 0 < rest < per else 0
+            if times:
+                put(kind, room[kind], length, per, times)
+            if one:
+                put(kind, room[kind], length, rest, 1)
+            left = rest * (1 - one)
+            kinds[kind] -= times + one
+            if not kinds[kind]:
+                del kinds[kind]
+            if not left:
+                break
+        per = capacity // length
+        if left >= per:
+            put((), capacity, length, per, left // per)
+        if left % per:
+            put((), capacity, length, left % per, 1)
+    return [(dict(kind), n) for kind, n in kinds.items()]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Container contents (length -> count) and how many containers are filled that way, for all items."""
+    """Container contents (length -> count) and how many containers are filled that way, for all items.
+
+    By least slack; where very large items rule, that can use a few containers more than best fit, and the plan with
+    fewer containers is taken.
+    """
     remaining = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while remaining:
@@ -61,7 +100,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
             remaining[n] -= k * times
             if not remaining[n]:
                 del remaining[n]
-    return out
+    other = best_fit({n: c for n, c in histogram.items() if c > 0}, capacity)
+    return other if sum(t for _, t in other) < sum(t for _, t in out) else out
 
 
 def _slots(steps: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:

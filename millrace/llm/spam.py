@@ -67,7 +67,8 @@ def features(text: str | None) -> dict[str, float]:
     out["terms"] = float(len(words))
     out["function"] = sum(map(WORDS.__contains__, words)) / len(words)
     out["unique"] = len(set(words)) / len(words)
-    if out["function"] >= 0.2 and out["unique"] >= 0.4:
+    marks = sum(map(low.count, "#|/,;"))
+    if out["function"] >= 0.2 and out["unique"] >= 0.4 and marks < 0.1 * len(words):
         out["prose"] = 1.0
         return out
     content = [_DIGITS.sub("0", w) for w in words if w not in WORDS]
