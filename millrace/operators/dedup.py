@@ -73,3 +73,9 @@ def last_in_window(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     """The last row of each key by a window; for orders that no single struct can express."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def rollback_claims(log: DataFrame, failed: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """The log without the claims of rows that could not be written: ``failed`` holds the keys and row ids."""
+    f = failed.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(row).alias("__row")).distinct()
+    return log.join(f, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(row).eqNullSafe(F.col("__row"))], "left_anti")

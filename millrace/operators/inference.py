@@ -162,3 +162,23 @@ def share_of_type(df: DataFrame, name: str) -> DataFrame:
     v = F.trim(F.col(name))
     kind = reduce(lambda acc, k: acc.when(_looks(v, k), k), ["integer", "float", "datetime", "date"], F.when(v.isNull() | (v == ""), "empty").when(_looks(v, "boolean"), "boolean")).otherwise("string")
     return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def loader_type(name: str, value: object) -> str:
+    """Type of a loaded column from its name (times end in ``_at``) and one value of it."""
+    import datetime as dt
+    import re
+
+    if name.endswith("_at") or isinstance(value, dt.datetime):
+        return "timestamp"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "bigint"
+    if isinstance(value, float):
+        return "double"
+    if isinstance(value, dt.date):
+        return "date"
+    if isinstance(value, str) and re.match(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}", value):
+        return "timestamp"
+    return "string"

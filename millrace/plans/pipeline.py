@@ -121,6 +121,14 @@ def transform(raw: DataFrame, contract: Contract | None, rules: list[Rule] = (),
     return Outcome(silver, quarantine, metrics, checked)
 
 
+def reprocess(quarantine: DataFrame, contract: Contract, rules: list[Rule] = (), version: str = "1.0.0") -> tuple[Outcome, DataFrame]:
+    """Run rows put aside again, those not yet done whose original is readable; returns the outcome and the ids that are now silver."""
+    rows = quarantine.where("not coalesce(_reprocessed, false)").select("_quarantine_id", "_batch_id", "_source_id", F.from_json("_original_row", f"struct<{', '.join(f'`{n}`:string' for n in contract.names())}>").alias("r")).where("r is not null")
+    raw = rows.select(F.col("_quarantine_id").alias("_row_id"), "_batch_id", "_source_id", "r.*")
+    out = transform(raw, contract, rules, version=version)
+    return out, out.silver.select(F.col("_bronze_row_id").alias("_quarantine_id"))
+
+
 def silver_schema(contract: Contract) -> T.StructType:
     """Typed fields of a contract between lineage and quality columns."""
     lineage = [("_bronze_row_id", T.StringType()), ("_batch_id", T.StringType()), ("_source_id", T.StringType()), ("_cleaned_at", T.TimestampType()), ("_cleaning_version", T.StringType())]
@@ -128,4 +136,4 @@ def silver_schema(contract: Contract) -> T.StructType:
     return T.StructType([*[T.StructField(n, t) for n, t in lineage], *contract.struct().fields, *[T.StructField(n, t) for n, t in quality]])
 
 
-__all__ = ["Outcome", "bronze", "clean_text", "coerce", "data_columns", "quarantine_rows", "silver_schema", "transform"]
+__all__ = ["Outcome", "bronze", "clean_text", "coerce", "data_columns", "quarantine_rows", "reprocess", "silver_schema", "transform"]

@@ -260,7 +260,7 @@ def _loads(spark, shift=0.0):
     for b in range(8):
         for i in range(90):
             odd = b == 3
-            rows.append((f"r{b}_{i}", f"batch_{'ab'[b % 2]}_{b}_x", rng.gauss(0, 1) + (3 * shift if odd else 0), dt.date(2024, 1, 1) + dt.timedelta(rng.randint(0, 300)), None if odd and i % 2 else rng.choice(["x", "y", " "]), f"u{i}@h" if not (b == 4 and i % 3 == 0) else "bad", "s"))
+            rows.append((f"r{b}_{i}", f"batch_{'ab'[b % 2]}_{b}_x", rng.gauss(0, 1) + (3 * shift if odd else 0), dt.date(2024, 1, 1) + dt.timedelta(rng.randint(0, 300)), None if odd and i % 2 else rng.choice(['x', 'y', 'x', 'y', 'x', 'y', 'x', 'y', 'x', ' ']), f"u{i}@h" if not (b == 4 and i % 3 == 0) else "bad", "s"))
     rows += rows[:20]
     rows += [("n", None, 1.0, None, "x", "a@b", "s"), ("nan", "batch_a_0_x", float("nan"), None, None, None, "s")]
     return spark.createDataFrame(rows, "rid string, batch string, load double, day date, id string, mail string, src string"), rows

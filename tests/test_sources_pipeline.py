@@ -4,11 +4,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import validators
 from millrace.operators import contracts as C
+from millrace.operators import dedup
 from millrace.operators.exactly_once import QuotientStore
+from millrace.operators.inference import loader_type
 from millrace.operators.rules import load_rules
 from millrace.plans import pipeline
-from millrace.sources import readers, writers
+from millrace.sources import catalog, messages, readers, writers
 from millrace.streaming import jobs
 
 
@@ -150,3 +153,56 @@ def test_once_only_stream(spark, tmp_path):
 def test_resumable(spark):
     c = spark.createDataFrame([("a", "ACTIVE", 5, dt.datetime(2024, 1, 1)), ("a", "COMPLETED", 9, dt.datetime(2024, 1, 2)), ("b", "failed", 3, dt.datetime(2024, 1, 1)), ("c", "ACTIVE", 0, dt.datetime(2024, 1, 1))], "extraction_id string, status string, last_offset bigint, updated_at timestamp")
     assert [r["extraction_id"] for r in jobs.resumable(c).collect()] == ["b"]
+
+
+def test_message_checks(spark):
+    rows = [
+        ({"type": "file", "filename": "a.csv", "saved_path": "/x", "size": 5}, []), ({"type": "file", "filename": "a" * 300, "saved_path": "/x", "size": -1}, ["filename: too long", "size: too small"]), ({"type": "ftp"}, ["type: not one of file, database"]),
+        ({"type": "database", "db_type": "mysql", "host": "h", "user": "u", "password": "p", "database": "d", "port": "1"}, ["port: not integer"]), ({}, ["type: missing"]), ({"type": None}, ["type: missing"]), ({"type": " "}, ["type: empty"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(m)) for i, (m, _) in enumerate(rows)] + [(90, "no json"), (91, None), (92, "[1]")], "i int, value string")
+    got = {r["i"]: r["p"] for r in df.select("i", messages.problems(F.col("value"), "connection_topic").alias("p")).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows] and got[90] == got[91] == got[92] == ["message: no JSON object"]
+    good, bad = messages.split_messages(df, "connection_topic")
+    assert [r["i"] for r in good.collect()] == [0] and bad.count() == 9
+    row = spark.createDataFrame([(json.dumps({"source": "s", "source_id": "i", "schema_version": "1", "quality_score": 1.5}),)], "value string")
+    assert messages.split_messages(row, "clean_rows_topic")[1].first()["_validation_errors"] == ["quality_score: too large", "data: neither data nor rows"]
+    with pytest.raises(ValueError):
+        messages.problems(F.col("value"), "nope")
+
+
+def test_values_names_and_types():
+    ok = {"host": "db.x.org", "port": 5432, "database": "d_1", "user": "me@x"}
+    assert validators.problems(ok, validators.CONNECTION) == []
+    assert validators.problems({"host": "a..b", "port": True, "database": "d;x"}, validators.CONNECTION) == ["host has a bad form", "port must be int", "database has a bad form", "user is required"]
+    assert validators.Value("x").one_of(1, 2).problem(3) and validators.Value("x").length(2).problem("a") and not validators.Value("x").kind(str).problem(None)
+    for bad in ("a b", "a;drop", "a.b.c", ""):
+        with pytest.raises(ValueError):
+            catalog.safe_name(bad)
+    assert [loader_type("x", v) for v in (True, 1, 1.5, "a", "2024-01-01T10:00:00", dt.datetime(2024, 1, 1), dt.date(2024, 1, 1))] == ["boolean", "bigint", "double", "string", "timestamp", "timestamp", "date"] and loader_type("made_at", "x") == "timestamp"
+
+
+def test_catalog_tables(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, name string")
+    for t in ("mr_a", "mr_b", "mr_c"):
+        catalog.drop(spark, t)
+    catalog.create(spark, "mr_a", df.select("id").schema)
+    assert catalog.add_columns(spark, "mr_a", df) == ["name"] and catalog.add_columns(spark, "mr_a", df) == []
+    catalog.create_like(spark, "mr_b", "mr_a")
+    catalog.rename(spark, "mr_b", "mr_c")
+    df.write.insertInto("mr_c")
+    assert catalog.exists(spark, "mr_c") and not catalog.exists(spark, "mr_b") and {"mr_a", "mr_c"} <= set(catalog.tables(spark)) and spark.table("mr_c").count() == 1
+    for t in ("mr_a", "mr_c"):
+        catalog.drop(spark, t)
+
+
+def test_reprocess_and_rollback(spark):
+    raw = pipeline.bronze(spark.createDataFrame([("1", "a", "200"), ("x", "b", "5")], "id string, name string, age string"), "s")
+    q = pipeline.transform(raw, USERS).quarantine
+    wider = C.Contract("u", "1.1.0", (C.Field("id", "integer", False), C.Field("name", "string"), C.Field("age", "integer", True, (C.Constraint("range", [0, 250]),))))
+    out, done = pipeline.reprocess(q, wider)
+    assert out.silver.count() == 1 and out.quarantine.count() == 1
+    marked = writers.mark_reprocessed(q, done)
+    assert marked.where("_reprocessed").count() == 1 and pipeline.reprocess(marked, wider)[0].silver.count() == 0
+    log = spark.createDataFrame([("k", "r1"), ("k", "r2"), (None, "r3")], "k string, r string")
+    assert sorted(r["r"] for r in dedup.rollback_claims(log, log.where("r <> 'r2'"), ["k"], "r").collect()) == ["r2"]
