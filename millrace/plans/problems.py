@@ -115,8 +115,28 @@ r AS (SELECT DISTINCT s._row_id, s._cleaned_at, '_bronze_row_id' AS ref_field, C
 """
 _P5 = "WITH m AS (SELECT regexp_replace(lower(_dedup_key), '^\\s*(sha256:)?|\\s+', '', 'g') AS k, _stage, _processed_at, _row_id FROM deduplication_log), g AS (SELECT k AS _dedup_key, _stage, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id NULLS LAST) AS _row_id, count(*) AS n_deliveries FROM m WHERE regexp_full_match(k, '[0-9a-f]{64}') GROUP BY 1, 2) "
 
+def _p6_sql() -> str:
+    """The record patterns in the dialect of the other engine, with the delimiter put in per row."""
+    any_field = """('("([^"]|"")*"|[^"' || d || ']*)')"""
+
+    def value(p: str) -> str:
+        p = p.replace("(?!0000)", "").replace("'", "''")
+        return f"'({p}|\"{p}\")'"
+
+    fields = [any_field if p is None else value(p) for p, _ in row_parse.FIELDS.values()]
+    sep = "('[' || d || ']')"
+    whole = f" || {sep} || ".join(fields)
+    return (
+        "WITH r AS (SELECT DISTINCT line_id, _source_id, _original_row AS o, delimiter AS d, n_columns AS n FROM raw_rows JOIN raw_formats USING (_source_id)), "
+        f"k AS (SELECT line_id, CASE WHEN o IS NULL THEN 'column_count' WHEN NOT regexp_full_match(o, {any_field} || '(' || {sep} || {any_field} || ')*') THEN 'broken_quoting' "
+        f"WHEN NOT regexp_full_match(o, {any_field} || '(' || {sep} || {any_field} || '){{' || (n - 1) || '}}') THEN 'column_count' WHEN NOT regexp_full_match(o, {whole}) THEN 'invalid_value' END AS _quarantine_reason FROM r) "
+        "SELECT DISTINCT line_id, _quarantine_reason FROM k WHERE _quarantine_reason IS NOT NULL"
+    )
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
+    "p6_found": _p6_sql(),
     "p3_found": P3_CTE + "SELECT DISTINCT _row_id, ref_field, kind FROM r WHERE kind IS NOT NULL",
     "p3_counts": P3_CTE + "SELECT 'silver_customers' AS table_name, ref_field, kind, strftime(_cleaned_at, '%Y-%m') AS month, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL",
     "p5_found": _P5 + "SELECT _dedup_key, _stage, _row_id FROM g WHERE n_deliveries > 1",
