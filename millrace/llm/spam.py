@@ -30,8 +30,7 @@ WORDS = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
 
 LAG = 24
 _TERM = re.compile(r"[^\W\d_](?:[\w'’]*[^\W_])?")
-_TOKEN = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|#\w+|[\w'’]+")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*")
+_LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*")  # one start per run: linear in very long texts
 _SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _NEUTRAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[{}\[\]]\s*$|\{.*\}|(?:select|insert|update|delete|create|alter|with|from|where|group by|order by|left join|join|having|limit)\b|traceback|at \w|```)", re.I)
 _SEPARATOR = re.compile(r"[|/,;·•»→]|\s[-–:]\s|#\w")

@@ -182,6 +182,15 @@ def test_spam_pages():
     assert [spam.is_spam(spam.features(t)) for t in HONEST] == [False] * len(HONEST)
 
 
+def test_long_odd_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("a.a" * 100_000, "a-" * 200_000, "a_'" * 100_000, ", " * 200_000, "\n" * 300_000, "x" * 500_000):
+        spam.is_spam(spam.features(t))
+    assert time.time() - began < 20
+
+
 def test_recurrence_against_brute_force():
     rng = random.Random(6)
     for _ in range(50):
