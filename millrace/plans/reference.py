@@ -370,7 +370,7 @@ def quality_batch_metrics(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS rn FROM events) WHERE rn = 1")
 def dedup_first_wins(spark, d):
-    return dedup.first_wins(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+    return dedup.first_wins(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -381,7 +381,7 @@ def dedup_anti_load(spark, d):
 
 @query("SELECT extraction_id, status, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY updated_at DESC NULLS LAST, correlation_id DESC NULLS LAST) AS rn FROM extraction_checkpoints) WHERE rn = 1")
 def latest_per_key(spark, d):
-    return dedup.latest_per_key(table(spark, d, "extraction_checkpoints"), ["extraction_id"], "updated_at", "correlation_id").select("extraction_id", "status", "updated_at")
+    return dedup.latest_per_key(table(spark, d, "extraction_checkpoints").select("extraction_id", "status", "updated_at", "correlation_id"), ["extraction_id"], "updated_at", "correlation_id").select("extraction_id", "status", "updated_at")
 
 
 @query("SELECT _stage, _batch_id, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id) AS winner FROM deduplication_log GROUP BY 1, 2")
