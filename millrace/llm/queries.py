@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, neardup, packing, spam
-from millrace.session import scratch_path, table
+from millrace.session import scratch_path, spread, table
 
 CAPACITY = 2048
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.replay(table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text"), table(spark, d, "deduplication_log"))
+    return neardup.replay(spread(table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text")), table(spark, d, "deduplication_log"))
 
 
 def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -26,15 +26,15 @@ def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(spark, d, "documents"))
+    return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_texts(table(spark, d, "documents"), CAPACITY)
+    return packing.pack_texts(spread(table(spark, d, "documents").select("doc_id", "text")), CAPACITY)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.find_spam(table(spark, d, "documents")).distinct()
+    return spam.find_spam(spread(table(spark, d, "documents").select("doc_id", "text"))).distinct()
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_last_batch, p8_ids, p9_containers, p10_found)}
