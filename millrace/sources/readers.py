@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,22 +63,47 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
         reader = spark.read.options(**options)
         df = (reader.schema(schema) if schema else reader).csv(path)
     else:
-        lines = spark.read.option("wholetext", "true").option("encoding", encoding or "utf-8").text(path)
-        rest = lines.select(F.explode(F.slice(F.split("value", r"\r?\n"), skip_rows + 1, 2_000_000_000)).alias("value")).where("value <> ''")
-        names = None
-        if header:
-            first = rest.limit(1).collect()
-            names = first[0][0].split(delimiter) if first else []
-            rest = rest.where(F.col("value") != (first[0][0] if first else ""))
-        width = len(names) if names else (rest.limit(1).select(F.size(F.split("value", re.escape(delimiter)))).collect() or [[0]])[0][0]
-        fields = T.StructType([T.StructField(n, T.StringType()) for n in (names or [f"_c{i}" for i in range(width)])])
-        df = rest.select(F.from_csv("value", fields.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
-        return df
+        return _read_skipping(spark, path, delimiter, header, encoding or "utf-8", skip_rows)
     if provenance:
         df = df.withColumns({"_file_name": F.col("_metadata.file_name"), "_file_size": F.col("_metadata.file_size").cast("decimal(20,0)")})
     return df
 
 
+def _read_skipping(spark: SparkSession, path: str, delimiter: str, header: bool, encoding: str, skip_rows: int) -> DataFrame:
+    """Files with lines before the header: a file is decoded and split in one task, files in parallel."""
+    from millrace.session import ship
+
+    ship(spark)
+
+    def records(content: bytes) -> Iterator[list[str]]:
+        lines = io.StringIO(content.decode(encoding), newline="")
+        for _ in range(skip_rows):
+            lines.readline()
+        return csv.reader(lines, delimiter=delimiter)
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([next(records(c), []) for c in b["content"].to_pylist()], pa.list_(pa.string()))], ["names"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    first = files.limit(1).mapInArrow(head, "names array<string>").first()
+    found = list(first[0]) if first else []
+    names = found if header else [f"_c{i}" for i in range(len(found))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b["content"].to_pylist():
+                data = records(content)
+                if header:
+                    next(data, None)
+                while part := list(islice(data, 10_000)):
+                    full = [r for r in part if r]
+                    cols = [pa.array([(r[i] or None) if i < len(r) else None for r in full], pa.string()) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+    return files.mapInArrow(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> tuple[DataFrame, bool]:
     """Rows ``offset`` to ``offset + limit`` in a stable order, and whether there are more."""
     if limit < 1 or offset < 0:
