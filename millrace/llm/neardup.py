@@ -1,15 +1,16 @@
 """New batches against all accepted history: minwise band keys, probes of matching buckets, verification.
 
 Words (letter case, spacing and punctuation aside) give a class per distinct text; shingles of three words give a
-minwise signature, its rows in bands give band keys. Each record keeps its band keys and a one-bit sketch of the
-signature. A probe joins band keys, drops pairs whose sketches differ too much while joining, and verifies the rest
-on the words: the longest common subsequence must cover at least ``MIN_SHARED`` of the longer text. Copies are
-expanded from classes only at the end.
+minwise signature, its rows in bands give band keys. Each record keeps its band keys, its number of words and which
+word hashes occur an odd number of times. A probe joins band keys and verifies the pairs on the words: the longest
+common subsequence must cover at least ``MIN_SHARED`` of the longer text. Pairs are dropped before that only where
+they cannot pass: texts of n and m words whose odd sets differ in d places differ in d words at least, so they share
+(n + m - d) / 2 words at most. Copies are expanded from classes only at the end.
 
 Why three words and a subsequence instead of five words and 0.8: here texts count as nearly the same with up to an
-eighth of their words changed, which scattered changes turn into a five-word similarity far below 0.8. With an eighth
-of the words changed all over a text, about half of its three-word shingles are left; 64 bands of 4 rows then meet with
-probability 0.99, and more often the closer the texts are.
+eighth of their words changed, which scattered changes turn into a five-word similarity far below 0.8. With every
+eighth word changed, the similarity of the three-word shingles is 0.42 (24 words) to 0.45 (long texts); 84 bands of 3
+rows then meet with probability 0.998 to 0.9997, and more often the closer the texts are or the changes lie together.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from millrace.session import materialise
 
-SHINGLE, ROWS, BANDS = 3, 4, 64
-#: ``MAX_BITS`` of ``SKETCH`` may differ: about a third where a half of the shingles is shared, half where none is.
-MIN_WORDS, MIN_SHARED, SKETCH, MAX_BITS = 20, 0.8, 128, 42
+SHINGLE, ROWS, BANDS = 3, 3, 84
+MIN_WORDS, MIN_SHARED = 20, 0.8
+#: Bits of the odd set that band keys carry.
+FOLD = 256
+_BITS = ("bits_a", "bits_b", "bits_c", "bits_d")
 BUCKETS = 256
 
 _WORD = re.compile(r"\w+")
@@ -66,8 +69,22 @@ class _WordHash(dict):
 _HASHES = _WordHash()
 
 
-def signature(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (int64) and a sketch of 2 x 64 bits of a token list of at least ``SHINGLE`` words."""
+def odd_set(tokens: list[str]) -> bytes:
+    """A bit for each place of the word hashes that occurs an odd number of times; two to four places a word."""
+    size = max(FOLD, 1 << (2 * len(tokens) - 1).bit_length())
+    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    odd = np.bincount(((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(odd: bytes, size: int) -> bytes:
+    """The odd set over fewer places (``size`` bytes)."""
+    x = np.frombuffer(odd, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+
+
+def signature(tokens: list[str]) -> np.ndarray:
+    """Band keys (int64) of a token list of at least ``SHINGLE`` words."""
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     s = h[: len(h) - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
@@ -82,12 +99,11 @@ def signature(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     key = np.arange(BANDS, dtype=np.uint64) * _K1
     for r in range(ROWS):
         key = _mix(key * _K1 + rows[:, r])
-    bits = np.packbits((_mix(low[:SKETCH].astype(np.uint64) * _K1) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-    return key.view(np.int64), bits
+    return key.view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``bands`` and ``bits_a, bits_b``.
+    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``n_words, odd, bands`` and ``bits_a`` to ``bits_d`` (the odd set in ``FOLD`` places).
 
     Texts of fewer than ``MIN_WORDS`` words, null and empty ones are not compared and have no row.
     """
@@ -96,26 +112,26 @@ def sketches(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            keep, cls, bands, bits = [], [], [], []
+            keep, cls, sizes, odds, bands = [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 w = words(text)
                 if len(w) >= MIN_WORDS:
                     keep.append(i)
                     cls.append(xxhash.xxh3_128_digest(" ".join(w)))
-                    key, sketch = signature(w)
-                    bands.append(key)
-                    bits.append(sketch)
+                    sizes.append(len(w))
+                    odds.append(odd_set(w))
+                    bands.append(signature(w))
             if not keep:
                 continue
             kept = batch.take(pa.array(keep))
             c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
-            b = np.array(bits, np.int64).reshape(-1, 2)
+            b = np.frombuffer(b"".join(fold(x, FOLD // 8) for x in odds), np.int64).reshape(-1, 4)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keep) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands)))
-            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), lists, pa.array(b[:, 0].copy()), pa.array(b[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "bands", "bits_a", "bits_b"])
+            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(odds, pa.binary()), lists, *[pa.array(b[:, k].copy()) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words", "odd", "bands", *_BITS])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("batch_no").cast("bigint"), F.lower(F.trim("_row_id")).alias("row_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, bands array<bigint>, bits_a bigint, bits_b bigint")
+    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, n_words int, odd binary, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _BITS))
 
 
 def shared_words(a: list[str], b: list[str]) -> float:
@@ -155,8 +171,27 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _close() -> Column:
-    return F.bit_count(F.col("o.bits_a").bitwiseXOR(F.col("n.bits_a"))) + F.bit_count(F.col("o.bits_b").bitwiseXOR(F.col("n.bits_b"))) <= MAX_BITS
+def _possible() -> Column:
+    """Whether the pair can share enough words, by lengths and folded odd sets; true for all that can."""
+    n, m = F.col("o.n_words"), F.col("n.n_words")
+    differ = sum((F.bit_count(F.col(f"o.{x}").bitwiseXOR(F.col(f"n.{x}"))) for x in _BITS), F.lit(0))
+    return (n + m - differ) / 2 >= MIN_SHARED * F.greatest(n, m) - 1e-6
+
+
+def possible_pairs(pairs: DataFrame) -> DataFrame:
+    """Keep the pairs ``a, b, n_a, odd_a, n_b, odd_b`` that can share enough words, by their odd sets in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "odd_a", "n_b", "odd_b"))):
+                size = min(len(x), len(y))
+                differ = (int.from_bytes(fold(x, size)) ^ int.from_bytes(fold(y, size))).bit_count()
+                ok.append((n + m - differ) / 2 >= MIN_SHARED * max(n, m) - 1e-6)
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def accepted_docs(sketched: DataFrame, log: DataFrame) -> DataFrame:
@@ -168,18 +203,20 @@ def accepted_docs(sketched: DataFrame, log: DataFrame) -> DataFrame:
 def replay(docs: DataFrame, log: DataFrame) -> DataFrame:
     """All batches at once: ``doc_id_a, doc_id_b`` of each pair of an accepted earlier and a later near-duplicate.
 
-    The same keys, sketches and verification as :class:`HistoryIndex`, which works batch by batch. Probes run
-    between classes of equal words, one representative each; a bucket shared by very many classes is split by
-    adaptive skew handling and emits only pairs whose sketches are close.
+    The same keys and verification as :class:`HistoryIndex`, which works batch by batch. Probes run between classes
+    of equal words, one representative each; a bucket shared by very many classes is split by adaptive skew handling
+    and emits only pairs that can share enough words.
     """
     members = materialise(accepted_docs(sketches(docs), log), "sketches")
     early = F.when(F.col("accepted"), F.col("batch_no"))
-    classes = members.groupBy("cls_a", "cls_b").agg(F.min("doc_id").alias("rep"), F.min(early).alias("first_in"), F.max("batch_no").alias("last"), F.first("bands").alias("bands"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.count("*").alias("n"))
+    classes = members.groupBy("cls_a", "cls_b").agg(F.min("doc_id").alias("rep"), F.min(early).alias("first_in"), F.max("batch_no").alias("last"), *[F.first(x).alias(x) for x in ("n_words", "odd", "bands", *_BITS)], F.count("*").alias("n"))
     classes = materialise(classes, "classes")
-    keys = classes.select("rep", "first_in", "last", "bits_a", "bits_b", F.explode("bands").alias("key"))
-    hit = keys.alias("o").join(keys.alias("n"), (F.col("o.key") == F.col("n.key")) & (F.col("o.rep") < F.col("n.rep")) & _close() & (F.coalesce(F.col("o.first_in") < F.col("n.last"), F.lit(False)) | F.coalesce(F.col("n.first_in") < F.col("o.last"), F.lit(False))))
+    keys = classes.select("rep", "first_in", "last", "n_words", *_BITS, F.explode("bands").alias("key"))
+    hit = keys.alias("o").join(keys.alias("n"), (F.col("o.key") == F.col("n.key")) & (F.col("o.rep") < F.col("n.rep")) & _possible() & (F.coalesce(F.col("o.first_in") < F.col("n.last"), F.lit(False)) | F.coalesce(F.col("n.first_in") < F.col("o.last"), F.lit(False))))
     pairs = hit.select(F.col("o.rep").alias("a"), F.col("n.rep").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
+    odd = classes.select("rep", "n_words", "odd")
+    pairs = pairs.join(odd.toDF("a", "n_a", "odd_a"), "a").join(odd.toDF("b", "n_b", "odd_b"), "b")
+    pairs = materialise(possible_pairs(pairs), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
@@ -213,7 +250,7 @@ class HistoryIndex:
             raise
 
     def _keys(self, docs: DataFrame) -> DataFrame:
-        keys = sketches(docs).select("doc_id", "batch_no", "bits_a", "bits_b", F.explode("bands").alias("key"))
+        keys = sketches(docs).select("doc_id", "batch_no", "n_words", *_BITS, F.explode("bands").alias("key"))
         return keys.withColumn("bucket", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int"))
 
     def probe(self, batch: DataFrame) -> DataFrame:
@@ -225,7 +262,7 @@ class HistoryIndex:
         new = materialise(self._keys(batch), "probe")
         touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
         old = keys.where(F.col("bucket").isin(touched))
-        hit = old.alias("o").join(new.alias("n"), (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")) & (F.col("o.batch_no") < F.col("n.batch_no")) & (F.col("o.doc_id") != F.col("n.doc_id")) & _close())
+        hit = old.alias("o").join(new.alias("n"), (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")) & (F.col("o.batch_no") < F.col("n.batch_no")) & (F.col("o.doc_id") != F.col("n.doc_id")) & _possible())
         pairs = materialise(hit.select(F.col("o.doc_id").alias("a"), F.col("o.batch_no").alias("batch_no"), F.col("n.doc_id").alias("b")).distinct(), "probe-pairs")
         stored = texts.select(F.col("doc_id").alias("a"), "batch_no", F.col("text").alias("text_a"))
         fresh = batch.select(F.col("doc_id").cast("bigint").alias("b"), F.col("text").alias("text_b"))

@@ -301,3 +301,39 @@ def test_replay_of_odd_tables(spark):
     same = [(i, i % 4, f"r{i}", " ".join(f"x{k}" for k in range(30)), []) for i in range(40)]
     d, log = _frames(spark, same, {f"r{i}" for i in range(40)})
     assert neardup.replay(d, log).count() == sum(a[1] != b[1] for a in same for b in same) // 2
+
+
+def test_recall_with_an_eighth_of_the_words_changed():
+    rng = random.Random(10)
+    for n in (24, 40, 100, 200):
+        met = 0
+        for _ in range(300):
+            w = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            v = [f"x{i}" if i % 8 == 4 else x for i, x in enumerate(w)]
+            met += bool((neardup.signature(w) == neardup.signature(v)).any())
+        assert met >= 0.985 * 300
+
+
+def test_replay_with_an_eighth_of_the_words_changed(spark):
+    rng = random.Random(11)
+    docs, want = [], set()
+    for k in range(200):
+        w = [f"w{rng.randrange(4000)}" for _ in range((24, 40, 100, 200)[k % 4])]
+        v = [f"x{i}" if i % 8 == 4 else x for i, x in enumerate(w)]
+        docs += [(2 * k, 0, f"r{2 * k}", " ".join(w), []), (2 * k + 1, 1, f"r{2 * k + 1}", " ".join(v), [])]
+        want.add((2 * k, 2 * k + 1))
+    d, log = _frames(spark, docs, {r[2] for r in docs})
+    got = {tuple(r) for r in neardup.replay(d, log).collect()}
+    assert got <= want and len(got) >= 0.985 * len(want)
+
+
+def test_pairs_dropped_before_verification_cannot_pass():
+    rng = random.Random(9)
+    for _ in range(2000):
+        n = rng.randint(20, 400)
+        a = [f"w{rng.randrange(500)}" for _ in range(n)]
+        b = [w if rng.random() < 0.85 else f"x{rng.randrange(500)}" for w in a if rng.random() < 0.97]
+        x, y = neardup.odd_set(a), neardup.odd_set(b)
+        for size in (min(len(x), len(y)), neardup.FOLD // 8):
+            differ = sum((p ^ q).bit_count() for p, q in zip(neardup.fold(x, size), neardup.fold(y, size)))
+            assert (len(a) + len(b) - differ) / 2 >= neardup.shared_words(a, b) * max(len(a), len(b)) - 1e-6
