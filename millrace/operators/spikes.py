@@ -6,7 +6,8 @@ both re-estimated without the readings that a first pass finds odd. Forward-back
 state at each reading; hard bounds (possible values of the metric, length of a stuck run) decide the rest.
 
 Series are cut into blocks of time with a margin on both sides where one is very long, so that a series holding a
-third of all rows is spread over tasks, and a task reads its sorted rows as a stream in bounded pieces.
+third of all rows is spread over tasks, and a task reads its sorted rows as a stream in bounded pieces. Which readings
+are stuck is decided before, on runs and repeats of the whole series: the runs at the ends of blocks are joined.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 #: Readings in a block of a long series, and those of a piece that is held in memory; margin in readings.
 BLOCK_READINGS, PIECE_READINGS, MARGIN = 4_000, 20_000, 64
 #: Half width of the running median, spread at which a lone reading is as likely a spike as normal, stuck run.
@@ -104,8 +107,11 @@ def _emissions(v: np.ndarray, bad: np.ndarray, odd: np.ndarray) -> tuple[np.ndar
     return emit, base, spread
 
 
-def judge(series: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """(state, probability that it is odd, baseline, spread) for each series of (metric, values in time order, no nulls)."""
+def judge(series: list[tuple[str, np.ndarray]], stuck: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(state, probability that it is odd, baseline, spread) for each series of (metric, values in time order, no nulls).
+
+    ``stuck`` tells which readings are stuck where the values are only a part of their series.
+    """
     bads = []
     for metric, v in series:
         lo, hi = BOUNDS.get((metric or "").strip().lower(), (-np.inf, np.inf))
@@ -128,12 +134,15 @@ def judge(series: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.nda
         p = post[k, : len(v)]
         far = np.abs(np.where(bads[k], 0.0, v - fits[k][0])) > THRESHOLD * fits[k][1]
         state = np.where((p[:, SPIKE] > 0.5) | (far & (p[:, NORMAL] < 0.5)), SPIKE, NORMAL)
-        runs = _runs(v)
-        same = np.r_[False, v[1:] == v[:-1]]
-        for length in np.unique(runs[runs >= STUCK_RUN]):
-            others = len(v) - length
-            if others > 0 and (same.sum() - (length - 1)) / others < 0.5:
-                state[(runs == length) & ~bads[k]] = STUCK
+        if stuck is not None:
+            state[stuck[k] & ~bads[k]] = STUCK
+        else:
+            runs = _runs(v)
+            same = np.r_[False, v[1:] == v[:-1]]
+            for length in np.unique(runs[runs >= STUCK_RUN]):
+                others = len(v) - length
+                if others > 0 and (same.sum() - (length - 1)) / others < 0.5:
+                    state[(runs == length) & ~bads[k]] = STUCK
         state[bads[k]] = RANGE
         out.append((state, 1 - p[:, NORMAL], *fits[k]))
     return out
@@ -178,7 +187,7 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
 
 def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def report(batch: list[tuple[pd.DataFrame, np.ndarray]]) -> pd.DataFrame:
-        results = judge([(g["_metric"].iloc[0], g["_value"].to_numpy(dtype=np.float64)) for g, _ in batch])
+        results = judge([(g["_metric"].iloc[0], g["_value"].to_numpy(dtype=np.float64)) for g, _ in batch], [g["stuck"].to_numpy(dtype=bool) for g, _ in batch])
         rows = []
         for (g, mask), (state, prob, base, spread) in zip(batch, results):
             o = g.loc[mask, ["_anomaly_id", "_source_id", "_metric", "_detected_at", "_value"]].copy()
@@ -197,6 +206,34 @@ def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield report(batch)
 
 
+def _starts(value: str, before: Column) -> Column:
+    """Whether a run begins; NaN equals nothing."""
+    return F.coalesce((F.col(value) != before) | F.isnan(value), F.lit(True))
+
+
+def mark_stuck(placed: DataFrame) -> DataFrame:
+    """Adds ``stuck`` to rows with ``series`` and ``block``: in a run of ``STUCK_RUN`` or more, in a series where fewer than half of the other readings repeat."""
+    block = Window.partitionBy("series", "block")
+    order = block.orderBy("_detected_at", "_anomaly_id")
+    runs = placed.withColumn("run", F.sum(_starts("_value", F.lag("_value").over(order)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = materialise(runs.withColumn("length", F.count("*").over(Window.partitionBy("series", "block", "run"))), "runs")
+    last = F.max_by(F.struct(F.lit(1).alias("side"), F.col("_value").alias("v"), F.col("length")), "run")
+    first = F.min_by(F.struct(F.lit(0).alias("side"), F.col("_value").alias("v"), F.col("length")), "run")
+    ends = runs.groupBy("series", "block").agg(F.count("*").alias("n"), F.max("run").alias("n_runs"), first.alias("first"), last.alias("last"))
+    ends = ends.select("series", "block", "n", "n_runs", F.inline(F.array_compact(F.array("first", F.when(F.col("n_runs") > 1, F.col("last"))))))
+    w = Window.partitionBy("series").orderBy("block", "side")
+    ends = ends.withColumn("starts", (F.col("side") == 1) | _starts("v", F.lag("v").over(w)))
+    ends = ends.withColumn("joined", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("total", F.sum("length").over(Window.partitionBy("series", "joined")))
+    blocks = ends.groupBy("series", "block").agg(F.first("n").alias("n"), F.first("n_runs").alias("n_runs"), F.count_if(~F.col("starts")).alias("n_joins"), *[F.max(F.when(F.col("side") == k, F.col("total"))).alias(x) for k, x in enumerate(("first", "last"))])
+    whole = Window.partitionBy("series")
+    blocks = blocks.select("series", "block", "n_runs", "first", "last", F.sum("n").over(whole).alias("all"), F.sum(F.col("n_runs") - F.col("n_joins")).over(whole).alias("all_runs"))
+    length = F.when(F.col("run") == 1, F.col("first")).when(F.col("run") == F.col("n_runs"), F.col("last")).otherwise(F.col("length"))
+    others = F.col("all") - length
+    stuck = (length >= STUCK_RUN) & (others > 0) & (2 * (F.col("all") - F.col("all_runs") - (length - 1)) < others)
+    return runs.join(blocks, ["series", "block"]).withColumn("stuck", stuck).select(*placed.columns, "stuck")
+
+
 def flag_readings(readings: DataFrame) -> DataFrame:
     """State of every reading: the columns of ``_OUT``.
 
@@ -211,14 +248,15 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     long = rows.groupBy("series").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).where(F.col("n") > BLOCK_READINGS)
     blocks = F.ceil(F.col("n") / (BLOCK_READINGS / 2))
     long = long.select("series", "lo", F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) / blocks).cast("bigint") + 1).alias("width"))
-    placed = rows.join(long, "series", "left")
     offset = (F.col("at") - F.col("lo")) / F.col("width")
-    block = F.floor(offset)
+    placed = rows.join(long, "series", "left").withColumn("block", F.coalesce(F.floor(offset), F.lit(0)))
+    placed = mark_stuck(placed)
+    block = F.col("block")
     part = offset - block
     edge = 2 * MARGIN / (BLOCK_READINGS / 2)
-    own = F.struct(F.coalesce(block, F.lit(0)).alias("block"), F.lit(False).alias("margin"))
+    own = F.struct(block.alias("block"), F.lit(False).alias("margin"))
     ahead = F.when(part >= 1 - edge, F.struct((block + 1).alias("block"), F.lit(True).alias("margin")))
     behind = F.when(part < edge, F.struct((block - 1).alias("block"), F.lit(True).alias("margin")))
     spread = placed.withColumn("to", F.explode(F.array_compact(F.array(own, ahead, behind)))).withColumn("group", F.concat_ws("\u0001", "series", F.col("to.block").cast("string")))
-    ready = spread.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "group", F.col("to.margin").alias("margin"))
+    ready = spread.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "stuck", "group", F.col("to.margin").alias("margin"))
     return ready.repartition("group").sortWithinPartitions("group", "_detected_at", "_anomaly_id").mapInPandas(_run, _OUT)

@@ -196,6 +196,22 @@ def test_flags_of_a_table(spark, monkeypatch):
     assert spikes.flag_readings(df.limit(0)).count() == 0
 
 
+def test_stuck_runs_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    lively, coarse = _wave(rng, 900), 0.5 + 0.1 * (np.arange(900) // 5 % 2)
+    lively[300:600] = lively[300]
+    lively[700:712] = lively[700]
+    lively[[100, 101, 102, 103]] = np.nan
+    coarse[400:500] = rng.normal(0.55, 0.02, 100)
+    coarse[440:452] = coarse[440]
+    rows = [(f"{k}{i}", k, "validity", T0 + dt.timedelta(hours=i), float(x)) for k, v in (("l", lively), ("c", coarse)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "_anomaly_id string, _source_id string, _metric string, _detected_at timestamp, _value double")
+    monkeypatch.setattr(spikes, "BLOCK_READINGS", 80)
+    monkeypatch.setattr(spikes, "MARGIN", 16)
+    found = {r["_anomaly_id"] for r in spikes.flag_readings(df).where("state = 'stuck'").collect()}
+    assert found == {f"l{i}" for i in [*range(300, 600), *range(700, 712)]}
+
+
 def test_pieces_of_a_long_group(monkeypatch):
     import pandas as pd
 
