@@ -26,6 +26,10 @@ PIECE_VALUES, SALT_ROWS, MAX_SPLITS = 200_000, 50_000, 1_000_000
 #: Loads of one piece that are compared in one task; a piece of few values may be shared by very many loads.
 PIECE_LOADS = 50_000
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Loads of fewer values do not tell what range and distinct count are usual.
+TYPICAL_ROWS = 30
+#: Tests against what is usual, which other departing loads do not move.
+ROBUST = ("range", "fewer")
 
 
 @dataclass(frozen=True)
@@ -213,7 +217,10 @@ def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: Profi
     Columns: ``src, load, col, n_rows, n_null`` (null, blank or not finite), ``n_distinct, n_bad`` (pattern violated),
     ``lo, hi`` (text) and ``lo_num, hi_num, q`` (numbers, exact quantiles), ``ks`` and ``kuiper`` (distance of the
     load's cumulative curve to that of the source's other loads), and for the other loads ``o_rows, o_null, o_bad,
-    o_distinct, o_loads``. Identical rows count once. Rows without a load are left out. For a text column with a
+    o_distinct, o_loads``. What is usual for the source is taken over its loads of ``TYPICAL_ROWS`` values or more so that
+    up to a third of bad ones does not move it: ``typ_lo, typ_hi`` (lower and upper third of the loads' ends),
+    ``typ_distinct`` and ``typ_least, typ_most`` (thirds of distinct counts and of sizes); ``n_outside`` values of the
+    load lie outside ``typ_lo`` to ``typ_hi``. Identical rows count once. Rows without a load are left out. For a text column with a
     pattern a further column ``name#form`` profiles the form of its values.
     """
 
@@ -257,18 +264,26 @@ def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: Profi
         right = right.join(hot_, ["src_", "col_", "piece_"], "left").withColumn("salt_", F.pmod(F.hash("load"), F.coalesce("salts", F.lit(1)))).drop("salts").unionByName(spread, allowMissingColumns=True)
     parts = left.groupBy(*keys, "salt").cogroup(right.groupBy("src_", "col_", "piece_", "salt_")).applyInArrow(_piece, _PART)
     values = parts.groupBy("src", "col", "load").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("n_distinct").alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_num").alias("lo_num"), F.max("hi_num").alias("hi_num"), F.array(*[F.max(F.get("q", F.lit(i))) for i in range(len(QUANTILES))]).alias("q"))
+    usual = values.join(sized.groupBy("src", "col", "load").agg(F.sum("n").alias("filled")), ["src", "col", "load"]).where(F.col("filled") >= TYPICAL_ROWS)
+    usual = usual.groupBy("src", "col").agg(F.count("*").alias("typ_loads"), *[F.percentile_approx(c, p, 10_000).alias(x) for x, c, p in (("typ_lo", "lo_num", 0.34), ("typ_hi", "hi_num", 0.66), ("typ_distinct", "n_distinct", 0.34), ("typ_least", "filled", 0.34), ("typ_most", "filled", 0.66))])
+    usual = materialise(usual, "usual")
+    beyond = F.aggregate(F.arrays_zip(F.col("nums").alias("x"), F.col("counts").alias("c")), F.lit(0).cast("bigint"), lambda a, v: a + F.when((v["x"] < F.col("typ_lo")) | (v["x"] > F.col("typ_hi")), v["c"]).otherwise(0))
+    outside = packed.where("piece >= 0 and nums is not null").join(usual.select("src", "col", "typ_lo", "typ_hi"), ["src", "col"]).groupBy("src", "col", "load").agg(F.sum(beyond).alias("n_outside"))
+    values = values.join(outside, ["src", "col", "load"], "left")
     cells = packed.groupBy("src", "col", "load").agg((F.sum("n") + F.sum("n_null")).alias("n_rows"), F.sum("n_null").alias("n_null"), F.sum("n_bad").alias("n_bad"))
     both = cells.join(values, ["src", "col", "load"], "left").fillna(0, ["up", "down", "n_distinct"])
     totals = both.groupBy("src", "col").agg(F.sum("n_rows").alias("t_rows"), F.sum("n_null").alias("t_null"), F.sum("n_bad").alias("t_bad"), F.sum("n_distinct").alias("t_distinct"), F.count("*").alias("t_loads"))
-    joined = both.join(totals, ["src", "col"])
-    return joined.select("src", "load", "col", "n_rows", "n_null", "n_bad", "n_distinct", "lo", "hi", "lo_num", "hi_num", "q", F.greatest("up", "down").alias("ks"), (F.col("up") + F.col("down")).alias("kuiper"), *[(F.col(f"t_{x}") - F.col(f"n_{x}")).alias(f"o_{x}") for x in ("rows", "null", "bad", "distinct")], (F.col("t_loads") - 1).alias("o_loads"))
+    joined = both.join(totals, ["src", "col"]).join(usual, ["src", "col"], "left")
+    return joined.select("src", "load", "col", "n_rows", "n_null", "n_bad", "n_distinct", "lo", "hi", "lo_num", "hi_num", "q", F.greatest("up", "down").alias("ks"), (F.col("up") + F.col("down")).alias("kuiper"), *[(F.col(f"t_{x}") - F.col(f"n_{x}")).alias(f"o_{x}") for x in ("rows", "null", "bad", "distinct")], (F.col("t_loads") - 1).alias("o_loads"), "n_outside", "typ_loads", "typ_lo", "typ_hi", "typ_distinct", "typ_least", "typ_most")
 
 
 def departures(profiled: DataFrame, min_rows: int = 50) -> DataFrame:
     """``load, col, reasons`` and the profile of the columns of loads of at least ``min_rows`` rows that clearly depart from the source's other loads.
 
     Each test needs a large effect and one that chance hardly gives: the null share or the share of pattern violations
-    by a binomial deviation, the distinct share of nearly unique columns, and the distance of the cumulative curves
+    by a binomial deviation, the share of values outside the usual range (a value of any other load lies there about once
+a load and side at most, whatever the distribution), the distinct share of nearly unique columns, fewer distinct values
+than the usual count scaled down to the load's size, and the distance of the cumulative curves
     scaled by the sizes of both sides (Kuiper's for texts, which have no natural order). Where other loads of the source
     seem to depart too, what they can have added to the effect is taken off, so that one bad load among few does not
     make its neighbours look bad; of two loads alone neither is called bad.
@@ -293,6 +308,13 @@ def departures(profiled: DataFrame, min_rows: int = 50) -> DataFrame:
         "distinct": (oshare - share, F.lit(0.15), (filled >= 30) & (oshare >= 0.8), F.lit(0.0)),
         "distribution": (F.when(text, F.col("kuiper")).otherwise(F.col("ks")), F.when(text, 0.2).otherwise(0.17), enough, F.when(text, 2.9).otherwise(2.4) / F.greatest(weight, F.lit(1e-9))),
     }
+    usual = (F.col("typ_loads") >= 3) & (filled >= 30)
+    rare = F.lit(1.0) / F.greatest(F.col("typ_least"), F.lit(1))
+    distinct = F.col("typ_distinct") * F.least(F.lit(1.0), filled / F.greatest(F.col("typ_most"), F.lit(1)))
+    effects |= {
+        "range": (F.col("n_outside") / F.greatest(filled, F.lit(1)), F.lit(0.05), usual & ~text, rare + 5 * F.sqrt(rare / F.greatest(filled, F.lit(1)))),
+        "fewer": (1 - F.col("n_distinct") / F.greatest(distinct, F.lit(1.0)), F.lit(0.4), usual, 5 / F.sqrt(F.greatest(distinct, F.lit(1.0)))),
+    }
     able = profiled.where((n >= min_rows) & (F.col("o_loads") > 0) & (F.col("o_rows") >= min_rows))
     for k, (effect, least, when, by_chance) in effects.items():
         able = able.withColumns({f"e_{k}": effect, f"need_{k}": F.greatest(least, by_chance), f"on_{k}": when})
@@ -300,5 +322,5 @@ def departures(profiled: DataFrame, min_rows: int = 50) -> DataFrame:
     some = able.where(" or ".join(f"hit_{k}" for k in effects))
     sums = some.groupBy(F.col("src").alias("src_"), F.col("col").alias("col_")).agg(*[F.sum(F.when(F.col(f"hit_{k}"), n * F.col(f"e_{k}")).otherwise(0.0)).alias(f"sum_{k}") for k in effects])
     checked = some.join(sums, (F.col("src") == F.col("src_")) & (F.col("col") == F.col("col_"))).drop("src_", "col_")
-    reasons = F.array_compact(F.array(*[F.when(F.col(f"hit_{k}") & (F.col(f"e_{k}") - (F.col(f"sum_{k}") - n * F.col(f"e_{k}")) / o >= F.col(f"need_{k}")), k) for k in effects]))
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"hit_{k}") & (F.lit(k in ROBUST) | (F.col(f"e_{k}") - (F.col(f"sum_{k}") - n * F.col(f"e_{k}")) / o >= F.col(f"need_{k}"))), k) for k in effects]))
     return checked.withColumn("reasons", reasons).where(F.size("reasons") > 0).select(*profiled.columns, "reasons")

@@ -309,6 +309,21 @@ def test_profile_against_brute_force(spark, monkeypatch, size, loads):
     assert got["batch_a_4_x", "mail"]["n_bad"] == 30 and got["batch_b_3_x", "id"]["n_null"] > 45 and got["batch_b_1_x", "id"]["lo"] == "x"
 
 
+@pytest.mark.parametrize("size", [10**9, 150])
+def test_range_and_fewer_distinct_values(spark, monkeypatch, size):
+    monkeypatch.setattr(profile, "PIECE_VALUES", size)
+    rng = random.Random(12)
+    rows = []
+    for b in range(9):
+        for i in range(200):
+            age = 999.0 if b == 3 and i % 8 == 0 else -5.0 if b == 6 and i % 8 == 0 else float(rng.randint(18, 90))
+            day = rng.randint(0, 99) * 10 if b != 5 else rng.randint(0, 9) * 100 + 50
+            rows.append((f"r{b}_{i}", f"batch_a_{b}_x", age, dt.date(2024, 1, 1) + dt.timedelta(day), "x", "u@h"))
+    df = spark.createDataFrame(rows, "rid string, batch string, load double, day date, id string, mail string")
+    found = {(r["load"], r["col"]): r["reasons"] for r in profile.departures(profile.profile(df, "rid", "batch", source(), SPEC)).collect()}
+    assert found == {("batch_a_3_x", "load"): ["range"], ("batch_a_6_x", "load"): ["range"], ("batch_a_5_x", "day"): ["fewer"]}
+
+
 def test_departures_and_odd_tables(spark):
     df, _ = _loads(spark, 1.0)
     found = {(r["load"], r["col"].split("#")[0]) for r in profile.departures(profile.profile(df, "rid", "batch", source(), SPEC)).collect()}
