@@ -34,6 +34,8 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S
 _SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _NEUTRAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[{}\[\]]\s*$|\{.*\}|(?:select|insert|update|delete|create|alter|with|from|where|group by|order by|left join|join|having|limit)\b|traceback|at \w|```)", re.I)
 _SEPARATOR = re.compile(r"[|/,;·•»→]|\s[-–:]\s|#\w")
+#: A bullet or not, then a keyword or a key with its value.
+_ITEM = re.compile(r"^\s*(?:[-*+•–]\s+|\d{1,3}[.)]\s+)?[^\W\d_][\w'’&+. -]{0,60}(?::\s*[^\s(){}\[\]=<>][^(){}\[\]=<>]{0,60})?\s*$")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -73,7 +75,10 @@ def features(text: str | None) -> dict[str, float]:
     content = [_DIGITS.sub("0", w) for w in words if w not in WORDS]
     out["near"], out["auto"] = recurrence(content)
     listed = prose = total = 0
-    for seg in _SEGMENT.split(low):
+    segments = _SEGMENT.split(low)
+    short = [bool(_ITEM.match(x)) and len(t := _TERM.findall(x)) <= 6 and not any(map(WORDS.__contains__, t)) and not _NEUTRAL.match(x) for x in segments]
+    items = sum(short) >= 10  # many short lines without function words are a list, a few are headings or fields
+    for seg, item in zip(segments, short):
         tokens = _TERM.findall(seg)
         size = len(seg.strip())
         if not size:
@@ -85,7 +90,7 @@ def features(text: str | None) -> dict[str, float]:
         links = sum(map(len, _LINK.findall(seg)))
         cuts = len(_SEPARATOR.findall(seg))
         short_fields = cuts >= 3 and len(tokens) <= 3.5 * (cuts + 1) and fw <= 0.2 * len(tokens)
-        if links > 0.3 * size or short_fields or (fw <= 0.08 * len(tokens) and (cuts >= 1 or not tokens or len(tokens) > 12)):
+        if links > 0.3 * size or short_fields or (items and item) or (fw <= 0.08 * len(tokens) and (cuts >= 1 or not tokens or len(tokens) > 12)):
             listed += size
         elif fw >= 0.1 * len(tokens):
             prose += size

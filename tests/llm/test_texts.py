@@ -182,6 +182,15 @@ def test_spam_pages():
     assert [spam.is_spam(spam.features(t)) for t in HONEST] == [False] * len(HONEST)
 
 
+def test_lists_of_one_item_a_line():
+    colours, things = "red green blue black white grey brown pink".split(), "shoes lamps chairs tables sofas beds desks shelves rugs".split()
+    pairs = [f"{c} {t}" for c in colours for t in things]
+    for form in ("{}", "- {}", "* {}", "color: {}"):
+        assert spam.is_spam(spam.features("\n".join(form.format(x) for x in pairs[:40]))), form
+        assert spam.is_spam(spam.features(PROSE + "\n" + "\n".join(form.format(x) for x in pairs))), form
+    assert not spam.is_spam(spam.features(PROSE * 4 + "\n" + "\n".join(f"- {x}" for x in pairs[:12])))
+
+
 def test_long_odd_texts_take_linear_time():
     import time
 
