@@ -234,8 +234,8 @@ def replay(docs: DataFrame, log: DataFrame) -> DataFrame:
 class HistoryIndex:
     """Persisted band keys of accepted records, parquet by bucket of the key, with the words of each record beside.
 
-    ``probe`` reads only the buckets that the batch's keys fall into and the texts of the records that match;
-    ``append`` adds the accepted records of a batch. A batch written again replaces its own files.
+    ``probe`` reads the buckets that the batch's keys fall into (all of them for a batch of some dozens of records) and
+    scans the stored texts for the records that match; ``append`` adds the accepted records of a batch. A batch written again replaces its own files.
     """
 
     def __init__(self, spark: SparkSession, path: str):
