@@ -1,22 +1,25 @@
-"""New batches against all accepted history: minwise band keys, probes of matching buckets, verification.
-
-Words (letter case, spacing and punctuation aside) give a class per distinct text; shingles of three words give a
-minwise signature, its rows in bands give band keys. Each record keeps its band keys, its number of words and which
-word hashes occur an odd number of times. A probe joins band keys and verifies the pairs on the words: the longest
-common subsequence must cover at least ``MIN_SHARED`` of the longer text. Pairs are dropped before that only where
-they cannot pass: texts of n and m words whose odd sets differ in d places differ in d words at least, so they share
-(n + m - d) / 2 words at most. Copies are expanded from classes only at the end.
-
-Why three words and a subsequence instead of five words and 0.8: here texts count as nearly the same with up to an
-eighth of their words changed, which scattered changes turn into a five-word similarity far below 0.8. With every
-eighth word changed, the similarity of the three-word shingles is 0.42 (24 words) to 0.45 (long texts); 84 bands of 3
-rows then meet with probability 0.998 to 0.9997, and more often the closer the texts are or the changes lie together.
+"""New batches against all accepted history: minwise band keys with signatures, bucket probes, verification.
+
+Words (letter case, spacing and punctuation aside) give a class per distinct text. Band keys are minwise keys of the bag
+of words (a word's second occurrence is another element); each key row carries a signature of the text's three-word
+shingles. :class:`HistoryIndex` keeps the rows in files bucketed by the hash of the key and sorted by key. A load writes
+the new batches' keys as a run of its own, then merges the buckets: a record meets only accepted records of earlier
+batches that hold the same key, and the pair goes on if its signatures agree enough. Pairs are then held to a larger
+signature, one row a class, and verified on the words: the longest common subsequence must cover at least ``MIN_SHARED``
+of the longer text. Copies are expanded from classes only at the end.
+
+Why bags of words and a subsequence instead of five-word shingles and 0.8: here texts count as nearly the same with up
+to an eighth of their words changed, which scattered changes turn into a five-word similarity far below 0.8, while the
+bags still agree in 0.74 to 0.8 and those of other texts hardly in over 0.35. 32 bands of 7 rows meet with probability
+0.98 to 0.999 there. The similarity of three-word shingles is 0.42 at least then (24 words, every eighth changed), and
+both signature cuts lie four and a half standard deviations below it, whatever the length.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +27,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import materialise
+from millrace.session import delete_path, materialise
 
-SHINGLE, ROWS, BANDS = 3, 3, 84
+ROWS, BANDS, SHINGLE = 7, 32, 3
 MIN_WORDS, MIN_SHARED = 20, 0.8
-#: Bits of the odd set that band keys carry.
-FOLD = 256
-_BITS = ("bits_a", "bits_b", "bits_c", "bits_d")
-BUCKETS = 256
+#: Least similarity of the three-word shingles of two texts with an eighth of their words changed, and how many
+#: standard deviations below it the cuts lie.
+LEAST, MARGIN = 0.42, 4.5
+#: What texts may lie below the least similarity where it is known exactly (a change more than an eighth).
+EXACT_SLACK = 0.17
+#: Two-bit minwise values that travel with every key, smallest shingle hashes that are kept once a class.
+SKETCH, SMALLEST = 128, 64
+#: Rows of a bucket, about; rows of one key beyond which its group is split; keys and ids named in a filter at most.
+BUCKET_KEYS, HOT_KEY, NAMED = 100_000, 20_000, 10_000
+_SIGNS = ("s0", "s1", "s2", "s3")
+_AGREE = LEAST + (1 - LEAST) / 4
+_NEED = int(SKETCH * (_AGREE - MARGIN * (_AGREE * (1 - _AGREE) / SKETCH) ** 0.5))
 
 _WORD = re.compile(r"\w+")
 #: Characters that are not shown: zero-width ones, the soft hyphen, direction marks.
-_HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _RNG = np.random.default_rng(20250301)
-_A = (_RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+_A = (_RNG.integers(0, 2**32, ROWS * BANDS + SKETCH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 2**32, ROWS * BANDS + SKETCH, dtype=np.uint64).astype(np.uint32)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,69 +80,74 @@ class _WordHash(dict):
 _HASHES = _WordHash()
 
 
-def odd_set(tokens: list[str]) -> bytes:
-    """A bit for each place of the word hashes that occurs an odd number of times; two to four places a word."""
-    size = max(FOLD, 1 << (2 * len(tokens) - 1).bit_length())
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    odd = np.bincount(((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def fold(odd: bytes, size: int) -> bytes:
-    """The odd set over fewer places (``size`` bytes)."""
-    x = np.frombuffer(odd, np.uint8)
-    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+def _least(x: np.ndarray, at: slice) -> np.ndarray:
+    """Smallest value of each of the permutations ``at`` over the elements."""
+    low = np.full(len(_A[at]), np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(x), 2048):
+        v = x[lo : lo + 2048, None] * _A[None, at] + _B[None, at]
+        v ^= v >> np.uint32(15)
+        np.minimum(low, v.min(axis=0), out=low)
+    return low
 
 
-def signature(tokens: list[str]) -> np.ndarray:
-    """Band keys (int64) of a token list of at least ``SHINGLE`` words."""
+def signature(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Band keys (int64), the signature that travels with them (four int64) and the smallest shingle hashes."""
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    bag = np.sort(h)
+    first = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
+    nth = np.arange(len(bag)) - np.repeat(first, np.diff(np.r_[first, len(bag)]))
+    rows = _least((_mix(bag * _K1 + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), slice(0, ROWS * BANDS)).astype(np.uint64).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) * _K1
+    for r in range(ROWS):
+        key = _mix(key * _K1 + rows[:, r])
     s = h[: len(h) - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
         s = _mix(s * _K1 + h[k : len(h) - SHINGLE + 1 + k])
     x = np.unique((_mix(s) >> np.uint64(32)).astype(np.uint32))
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, np.uint32)
-    for lo in range(0, len(x), 4096):
-        v = x[lo : lo + 4096, None] * _A[None, :] + _B[None, :]
-        v ^= v >> np.uint32(15)
-        np.minimum(low, v.min(axis=0), out=low)
-    rows = low.astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) * _K1
-    for r in range(ROWS):
-        key = _mix(key * _K1 + rows[:, r])
-    return key.view(np.int64)
+    two = (_least(x, slice(ROWS * BANDS, None)) >> np.uint32(30)).astype(np.uint64).reshape(4, SKETCH // 4)
+    sign = np.bitwise_or.reduce(two << (np.arange(SKETCH // 4, dtype=np.uint64) * np.uint64(2)), axis=1)
+    return key.view(np.int64), sign.view(np.int64), x[:SMALLEST].astype("<u4").tobytes()
+
+
+def enough(a: bytes, b: bytes) -> bool:
+    """Whether the smallest shingle hashes allow the least similarity; short texts keep all their hashes, which is exact."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    exact = max(len(x), len(y)) < SMALLEST
+    both = np.union1d(x, y)[: None if exact else SMALLEST]
+    share = len(np.intersect1d(np.intersect1d(both, x, True), y, True)) / max(1, len(both))
+    return share >= LEAST - (EXACT_SLACK if exact else MARGIN * (LEAST * (1 - LEAST) / SMALLEST) ** 0.5)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``n_words, odd, bands`` and ``bits_a`` to ``bits_d`` (the odd set in ``FOLD`` places).
+    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``n_words, bands, s0`` to ``s3`` and ``smallest``.
 
     Texts of fewer than ``MIN_WORDS`` words, null and empty ones are not compared and have no row.
     """
+    names = ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words", "bands", *_SIGNS, "smallest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keep, cls, sizes, odds, bands = [], [], [], [], []
+            keep, cls, sizes, done = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 w = words(text)
                 if len(w) >= MIN_WORDS:
                     keep.append(i)
                     cls.append(xxhash.xxh3_128_digest(" ".join(w)))
                     sizes.append(len(w))
-                    odds.append(odd_set(w))
-                    bands.append(signature(w))
+                    done.append(signature(w))
             if not keep:
                 continue
             kept = batch.take(pa.array(keep))
             c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
-            b = np.frombuffer(b"".join(fold(x, FOLD // 8) for x in odds), np.int64).reshape(-1, 4)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keep) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands)))
-            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(odds, pa.binary()), lists, *[pa.array(b[:, k].copy()) for k in range(4)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words", "odd", "bands", *_BITS])
+            signs = np.array([d[1] for d in done])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keep) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate([d[0] for d in done])))
+            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sizes, pa.int32()), lists, *[pa.array(signs[:, k].copy()) for k in range(4)], pa.array([d[2] for d in done], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("batch_no").cast("bigint"), F.lower(F.trim("_row_id")).alias("row_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, n_words int, odd binary, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _BITS))
+    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, n_words int, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _SIGNS) + ", smallest binary")
 
 
 def shared_words(a: list[str], b: list[str]) -> float:
@@ -171,105 +187,145 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _possible() -> Column:
-    """Whether the pair can share enough words, by lengths and folded odd sets; true for all that can."""
-    n, m = F.col("o.n_words"), F.col("n.n_words")
-    differ = sum((F.bit_count(F.col(f"o.{x}").bitwiseXOR(F.col(f"n.{x}"))) for x in _BITS), F.lit(0))
-    return (n + m - differ) / 2 >= MIN_SHARED * F.greatest(n, m) - 1e-6
-
-
-def possible_pairs(pairs: DataFrame) -> DataFrame:
-    """Keep the pairs ``a, b, n_a, odd_a, n_b, odd_b`` that can share enough words, by their odd sets in full."""
+def alike(pairs: DataFrame) -> DataFrame:
+    """Keep the pairs ``a, b, small_a, small_b`` whose larger signatures allow the least similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "odd_a", "n_b", "odd_b"))):
-                size = min(len(x), len(y))
-                differ = (int.from_bytes(fold(x, size)) ^ int.from_bytes(fold(y, size))).bit_count()
-                ok.append((n + m - differ) / 2 >= MIN_SHARED * max(n, m) - 1e-6)
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array([enough(x, y) for x, y in zip(batch["small_a"].to_pylist(), batch["small_b"].to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "small_a", "small_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def accepted_docs(sketched: DataFrame, log: DataFrame) -> DataFrame:
-    """Adds ``accepted``: the log holds a ``load`` row for the record."""
-    loaded = log.where(F.lower(F.trim("_stage")) == "load").select(F.lower(F.trim("_row_id")).alias("row_id")).where("row_id is not null").distinct().withColumn("loaded", F.lit(True))
-    return sketched.join(loaded, "row_id", "left").withColumn("accepted", F.coalesce("loaded", F.lit(False))).drop("loaded")
+def _plausible() -> Column:
+    """Lengths allow enough common words, and the two-bit signatures agree in as many places as similar texts do."""
+    n, m = F.col("o.n_words"), F.col("n.n_words")
 
+    def differ(x: str) -> Column:
+        d = F.col(f"o.{x}").bitwiseXOR(F.col(f"n.{x}"))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-def replay(docs: DataFrame, log: DataFrame) -> DataFrame:
-    """All batches at once: ``doc_id_a, doc_id_b`` of each pair of an accepted earlier and a later near-duplicate.
+    return (F.least(n, m) >= MIN_SHARED * F.greatest(n, m) - 1e-6) & (SKETCH - sum(map(differ, _SIGNS[1:]), differ(_SIGNS[0])) >= _NEED)
 
-    The same keys and verification as :class:`HistoryIndex`, which works batch by batch. Probes run between classes
-    of equal words, one representative each; a bucket shared by very many classes is split by adaptive skew handling
-    and emits only pairs that can share enough words.
-    """
-    members = materialise(accepted_docs(sketches(docs), log), "sketches")
-    early = F.when(F.col("accepted"), F.col("batch_no"))
-    classes = members.groupBy("cls_a", "cls_b").agg(F.min("doc_id").alias("rep"), F.min(early).alias("first_in"), F.max("batch_no").alias("last"), *[F.first(x).alias(x) for x in ("n_words", "odd", "bands", *_BITS)], F.count("*").alias("n"))
-    classes = materialise(classes, "classes")
-    keys = classes.select("rep", "first_in", "last", "n_words", *_BITS, F.explode("bands").alias("key"))
-    hit = keys.alias("o").join(keys.alias("n"), (F.col("o.key") == F.col("n.key")) & (F.col("o.rep") < F.col("n.rep")) & _possible() & (F.coalesce(F.col("o.first_in") < F.col("n.last"), F.lit(False)) | F.coalesce(F.col("n.first_in") < F.col("o.last"), F.lit(False))))
-    pairs = hit.select(F.col("o.rep").alias("a"), F.col("n.rep").alias("b")).distinct()
-    odd = classes.select("rep", "n_words", "odd")
-    pairs = pairs.join(odd.toDF("a", "n_a", "odd_a"), "a").join(odd.toDF("b", "n_b", "odd_b"), "b")
-    pairs = materialise(possible_pairs(pairs), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id", "left_semi")
-    texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    linked = verify(full)
-    same = classes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
-    of = members.join(classes.select("cls_a", "cls_b", "rep"), ["cls_a", "cls_b"]).select("doc_id", "batch_no", "accepted", "rep")
-    old = of.where("accepted").select(F.col("doc_id").alias("old"), F.col("batch_no").alias("old_batch"), F.col("rep").alias("a"))
-    new = of.select(F.col("doc_id").alias("new"), F.col("batch_no").alias("new_batch"), F.col("rep").alias("b"))
-    found = both.join(old, "a").join(new, "b").where("old_batch < new_batch and old <> new")
-    return found.select(F.least("old", "new").alias("doc_id_a"), F.greatest("old", "new").alias("doc_id_b")).distinct()
+
+def loaded_rows(log: DataFrame) -> DataFrame:
+    """``row_id`` of the records that the log shows as loaded."""
+    return log.where(F.lower(F.trim("_stage")) == "load").select(F.lower(F.trim("_row_id")).alias("row_id")).where("row_id is not null").distinct()
 
 
 class HistoryIndex:
-    """Persisted band keys of accepted records, parquet by bucket of the key, with the words of each record beside.
+    """Persisted band keys with signatures in buckets of the key's hash, and the classes and members of each run.
 
-    ``probe`` reads the buckets that the batch's keys fall into (all of them for a batch of some dozens of records) and
-    scans the stored texts for the records that match; ``append`` adds the accepted records of a batch. A batch written again replaces its own files.
+    ``load`` takes one or many new batches at once. Their keys are written as a run, bucketed and sorted like the runs
+    before, so the buckets of both merge without a shuffle. A run of few keys names them in the scan, which then opens
+    only the buckets that hold one; work per batch is bounded by its keys times the size of a bucket. A run that is
+    loaded again after a failure replaces its own files. Texts are not copied: those of the candidates alone are read
+    from the documents. The index lives under ``path``; another session opens it with the same path.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, bucket_keys: int = BUCKET_KEYS):
+        self.spark, self.path, self.bucket_keys = spark, path.rstrip("/"), bucket_keys
+        self.name = f"millrace_keys_{uuid.uuid4().hex}"
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _stored(self, part: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+            return self.spark.read.option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
         except Exception as e:  # noqa: BLE001 - an empty index has no files
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
 
-    def _keys(self, docs: DataFrame) -> DataFrame:
-        keys = sketches(docs).select("doc_id", "batch_no", "n_words", *_BITS, F.explode("bands").alias("key"))
-        return keys.withColumn("bucket", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int"))
-
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """``doc_id_a, doc_id_b``: near-duplicates between the batch and accepted records of earlier batches."""
-        keys, texts = self._read("keys"), self._read("texts")
-        none = self.spark.createDataFrame([], "doc_id_a bigint, doc_id_b bigint")
-        if keys is None or texts is None:
-            return none
-        new = materialise(self._keys(batch), "probe")
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        old = keys.where(F.col("bucket").isin(touched))
-        hit = old.alias("o").join(new.alias("n"), (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")) & (F.col("o.batch_no") < F.col("n.batch_no")) & (F.col("o.doc_id") != F.col("n.doc_id")) & _possible())
-        pairs = materialise(hit.select(F.col("o.doc_id").alias("a"), F.col("o.batch_no").alias("batch_no"), F.col("n.doc_id").alias("b")).distinct(), "probe-pairs")
-        stored = texts.select(F.col("doc_id").alias("a"), "batch_no", F.col("text").alias("text_a"))
-        fresh = batch.select(F.col("doc_id").cast("bigint").alias("b"), F.col("text").alias("text_b"))
-        linked = verify(pairs.join(stored, ["a", "batch_no"]).join(fresh, "b"))
-        return linked.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
-
-    def append(self, accepted: DataFrame, batch_no: int) -> None:
-        """Add the accepted records of one batch (whole documents)."""
-        self._keys(accepted).drop("batch_no").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/keys/batch_no={batch_no}")
-        accepted.select(F.col("doc_id").cast("bigint"), "text").write.mode("overwrite").parquet(f"{self.path}/texts/batch_no={batch_no}")
+    def _buckets(self, n_keys: int) -> int:
+        """Number of buckets, fixed by the first run."""
+        known = self._stored("layout")
+        if known is not None:
+            return known.first()[0]
+        n = min(100_000, max(1, -(-n_keys // self.bucket_keys)))
+        self.spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.parquet(f"{self.path}/layout")
+        return n
+
+    def _keys(self, buckets: int) -> None:
+        if not self.spark.catalog.tableExists(self.name):
+            columns = "key bigint, rep bigint, first_in bigint, last_in bigint, n_words int, " + ", ".join(f"{x} bigint" for x in _SIGNS) + ", run bigint"
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet PARTITIONED BY (run) CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/keys'")
+        if self._stored("keys") is not None:
+            self.spark.sql(f"MSCK REPAIR TABLE {self.name}")
+
+    def load(self, docs: DataFrame, log: DataFrame, run: int, texts: DataFrame | None = None) -> DataFrame:
+        """``doc_id_a, doc_id_b``: near-duplicates among ``docs`` (batches newer than those of all runs before) and between them and accepted records of earlier batches; then the index holds ``docs`` too.
+
+        ``texts`` are the documents of all runs (``docs`` where it is the first).
+        """
+        sketched = materialise(sketches(docs), "sketches")
+        narrow = sketched.select("doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words")
+        of = narrow.join(loaded_rows(log).withColumn("accepted", F.lit(True)), "row_id", "left").select("doc_id", "batch_no", "cls_a", "cls_b", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        classes = of.groupBy("cls_a", "cls_b").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("accepted"), F.col("batch_no"))).alias("first_in"), F.max("batch_no").alias("last_in"), F.count("*").alias("n"))
+        for part in ("keys", "classes", "members"):
+            delete_path(self.spark, f"{self.path}/{part}/run={run}")
+        classes.write.parquet(f"{self.path}/classes/run={run}")
+        mine = self.spark.read.schema(classes.schema).parquet(f"{self.path}/classes/run={run}")
+        of.join(mine.select("cls_a", "cls_b", "rep"), ["cls_a", "cls_b"]).select("doc_id", "batch_no", "accepted", "rep").write.parquet(f"{self.path}/members/run={run}")
+        buckets = self._buckets(mine.count() * BANDS)
+        keys = sketched.join(mine, ["cls_a", "cls_b"]).where("doc_id = rep").select(F.explode("bands").alias("key"), "rep", "first_in", "last_in", "n_words", *_SIGNS)
+        self._keys(buckets)
+        keys.repartition(buckets, "key").withColumn("run", F.lit(run).cast("bigint")).write.mode("append").partitionBy("run").bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        pairs = materialise(self._candidates(run), "pairs")
+        small = sketched.select(F.col("doc_id"), "smallest")
+        pairs = self._alike(pairs, small, run)
+        return self._expand(self._verified(pairs, docs if texts is None else texts), run)
+
+    def _candidates(self, run: int) -> DataFrame:
+        """Pairs of classes ``a, b`` (representatives) that share a key and agree in the signatures that travel with it."""
+        table = self.spark.table(self.name)
+        new = table.where(F.col("run") == run)
+        older = F.coalesce(F.col("o.first_in") < F.col("n.last_in"), F.lit(False))
+        within = (F.col("o.rep") < F.col("n.rep")) & (older | F.coalesce(F.col("n.first_in") < F.col("o.last_in"), F.lit(False)))
+        out = self._meet(new, new, within)
+        old = table.where(F.col("run") != run)
+        if not old.isEmpty():
+            named = [r[0] for r in new.select("key").distinct().limit(NAMED + 1).collect()]
+            if len(named) <= NAMED:  # the scan then opens only the buckets of these keys; more keys lie in all buckets
+                old = old.where(F.col("key").isin(named))
+            out = out.unionByName(self._meet(old, new, older))
+        return out.distinct()
+
+    def _meet(self, old: DataFrame, new: DataFrame, wanted: Column) -> DataFrame:
+        """Merge of both sides' buckets. Keys that very many classes hold are split: one side in salts, the other to each."""
+        hot = new.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("salts"))
+        pick = F.col("o.rep").alias("a"), F.col("n.rep").alias("b")
+        same = F.col("o.key") == F.col("n.key")
+        if hot.isEmpty():
+            return old.alias("o").join(new.alias("n"), same & wanted & _plausible()).select(*pick)
+        hot = materialise(hot, "hot")
+        rest = old.join(hot, "key", "left_anti").alias("o").join(new.join(hot, "key", "left_anti").alias("n"), same & wanted & _plausible()).select(*pick)
+        salted = new.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+        each = old.join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)))
+        return rest.unionByName(each.alias("o").join(salted.alias("n"), same & (F.col("o.salt") == F.col("n.salt")) & wanted & _plausible()).select(*pick))
+
+    def _alike(self, pairs: DataFrame, small: DataFrame, run: int) -> DataFrame:
+        """Hold the pairs to the larger signatures, kept once a class."""
+        reps = self._stored("classes").where(F.col("run") == run).select(F.col("rep").alias("doc_id"))
+        small.join(reps, "doc_id", "left_semi").write.mode("overwrite").parquet(f"{self.path}/smallest/run={run}")
+        every = self._stored("smallest").select("doc_id", "smallest")
+        both = pairs.join(every.toDF("a", "small_a"), "a").join(every.toDF("b", "small_b"), "b")
+        return materialise(alike(both), "alike")
+
+    def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        named = [r[0] for r in wanted.limit(NAMED + 1).collect()]
+        texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        texts = texts.where(F.col("doc_id").isin(named)) if len(named) <= NAMED else texts.join(wanted, "doc_id", "left_semi")
+        texts = materialise(texts, "texts")
+        return materialise(verify(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")), "linked")
+
+    def _expand(self, linked: DataFrame, run: int) -> DataFrame:
+        """Pairs of documents from linked classes and from classes of several copies."""
+        same = self._stored("classes").where((F.col("run") == run) & (F.col("n") > 1)).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+        members = self._stored("members")
+        old = members.where("accepted").select(F.col("doc_id").alias("old"), F.col("batch_no").alias("old_batch"), F.col("rep").alias("a"))
+        new = members.where(F.col("run") == run).select(F.col("doc_id").alias("new"), F.col("batch_no").alias("new_batch"), F.col("rep").alias("b"))
+        found = both.join(old, "a").join(new, "b").where("old_batch < new_batch and old <> new")
+        return found.select(F.least("old", "new").alias("doc_id_a"), F.greatest("old", "new").alias("doc_id_b")).distinct()

@@ -12,17 +12,26 @@ CAPACITY = 2048
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.replay(spread(table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text")), table(spark, d, "deduplication_log"))
+    """All batches as the first run of an index."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text"))
+    return neardup.HistoryIndex(spark, scratch_path(spark, "history")).load(docs, table(spark, d, "deduplication_log"), 0)
+
+
+#: Indexes of this process by application and folder, of all batches but the last.
+_KEPT: dict[tuple[str, str], tuple[neardup.HistoryIndex, int]] = {}
 
 
 def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The last batch against a persisted index of everything accepted before it."""
-    docs = table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text")
-    last = docs.agg(F.max("batch_no")).first()[0] or 0
-    loaded = neardup.accepted_docs(docs.where(F.col("batch_no") < last).withColumn("row_id", F.lower(F.trim("_row_id"))), table(spark, d, "deduplication_log"))
-    index = neardup.HistoryIndex(spark, scratch_path(spark, "history"))
-    index.append(loaded.where("accepted"), last - 1)
-    return index.probe(docs.where(F.col("batch_no") == last))
+    """The last batch against the index of everything before it, which is made once and kept for later calls."""
+    docs, log = table(spark, d, "documents").select("doc_id", "batch_no", "_row_id", "text"), table(spark, d, "deduplication_log")
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _KEPT:
+        last = docs.agg(F.max("batch_no")).first()[0] or 0
+        index = neardup.HistoryIndex(spark, scratch_path(spark, "history"))
+        index.load(spread(docs.where(F.col("batch_no") < last)), log, 0)
+        _KEPT[at] = index, last
+    index, last = _KEPT[at]
+    return index.load(docs.where(F.col("batch_no") == last), log, 1, docs)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
