@@ -2,12 +2,14 @@
 
 Two views of the whole text decide:
 
-* Recurrence: the gaps at which content terms return. ``near`` is the share of content terms that returned within a
-  lag window, ``auto`` the strongest autocorrelation of the sequence of terms, or of their shapes, over the lags of
-  that window. Prose repeats its terms rarely and at irregular gaps; stuffed pages repeat them at once and in step.
-* Lists without function words: the share of the text in lines or sentences that hold links, tags, separators or
-  distinct names but (almost) no function words of any of the languages known here. Log lines, statements of query
-  languages and serialised objects are neither prose nor list.
+* Recurrence: the gaps at which terms return. ``near`` is the share of content terms that returned within a lag window,
+  ``auto`` the strongest autocorrelation of the sequence of terms over the lags of that window and over the commonest
+  gaps beyond it, so that a block of any length that is repeated shows. Prose repeats its terms rarely and at irregular
+  gaps, in any language; stuffed pages repeat them at once and in step. Both are measured for every text.
+* Lists of distinct nouns: the share of the text in lines or sentences that hold links, tags, separators or short items
+  but no function words. A missing function word alone tells nothing, since the language may not be known here; there
+  must be the form of a list, or a run of words that lacks short words and the end of a sentence too. Statements of
+  query languages, log lines and serialised objects, told by their grammar, are neither prose nor list.
 """
 
 from __future__ import annotations
@@ -28,11 +30,18 @@ FUNCTION_WORDS = {
 }
 WORDS = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
 
-LAG = 24
+#: Lags of the window, further lags taken from the commonest gaps, least number of terms.
+LAG, LONG_LAGS, LEAST_TERMS = 24, 8, 8
 _TERM = re.compile(r"[^\W\d_](?:[\w'’]*[^\W_])?")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*")  # one start per run: linear in very long texts
 _SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
-_NEUTRAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[{}\[\]]\s*$|\{.*\}|(?:select|insert|update|delete|create|alter|with|from|where|group by|order by|left join|join|having|limit)\b|traceback|at \w|```)", re.I)
+#: Log lines, traces, lines of serialised objects; statements of a query language and the clauses that go on with one.
+_MACHINE = re.compile(r"""^\s*(?:\d{4}-\d\d-\d\d[ t]\d\d:\d\d|[{}\[\]]+[,;]?\s*$|[{\[].*":|"[^"]*"\s*:|traceback\b|at [\w.$]+\(|```)""")
+_SELECT = re.compile(r"^\s*select\b")
+_FROM = re.compile(r"\bfrom\s+[\w.\"`]+")
+_STATEMENT = re.compile(r"^\s*(?:with\s+\w+\s+as\s*\(|insert\s+into\s|update\s+\S+\s+set\b|delete\s+from\s|create\s+(?:or\s+replace\s+)?(?:table|view|index)\b|alter\s+table\b)")
+_CLAUSE = re.compile(r"^\s*(?:from|where|and|or|group by|order by|(?:left |right |inner |full |cross )?join|on|having|limit|union|values|set|returning)\b|^\s*\)")
+_END = re.compile(r"[.!?…:][\"'”»)]*\s*$")
 _SEPARATOR = re.compile(r"[|/,;·•»→]|\s[-–:]\s|#\w")
 #: A bullet or not, then a keyword or a key with its value.
 _ITEM = re.compile(r"^\s*(?:[-*+•–]\s+|\d{1,3}[.)]\s+)?[^\W\d_][\w'’&+. -]{0,60}(?::\s*[^\s(){}\[\]=<>][^(){}\[\]=<>]{0,60})?\s*$")
@@ -40,7 +49,7 @@ _DIGITS = re.compile(r"\d+")
 
 
 def recurrence(terms: list[str], lag: int = LAG) -> tuple[float, float]:
-    """(share of terms that returned within ``lag``, strongest autocorrelation over the lags 1..``lag``)."""
+    """(share of terms that returned within ``lag``, strongest autocorrelation over the lags 1..``lag`` and the commonest gaps)."""
     n = len(terms)
     if n < 8:
         return 0.0, 0.0
@@ -52,8 +61,25 @@ def recurrence(terms: list[str], lag: int = LAG) -> tuple[float, float]:
     near = float((gaps <= lag).sum()) / n
     share = np.bincount(x) / n
     chance = float((share**2).sum())
-    best = max(float((x[k:] == x[:-k]).mean()) for k in range(1, min(lag, n // 3) + 1))
-    return near, max(0.0, (best - chance) / (1 - chance)) if chance < 1 else 1.0
+    if chance >= 1:
+        return near, 1.0
+    lags = set(range(1, min(lag, n // 8) + 1))  # eight times in step at least
+    far = np.bincount(gaps[(gaps > lag) & (gaps <= n // 8)]) if len(gaps) else gaps
+    lags.update(int(k) for k in np.argsort(-far, kind="stable")[:LONG_LAGS] if far[k])
+    best = max((float((x[k:] == x[:-k]).mean()) for k in lags), default=0.0)
+    return near, max(0.0, (best - chance) / (1 - chance))
+
+
+def machine_lines(segments: list[str]) -> list[bool]:
+    """Which segments are log lines, parts of statements or serialised objects."""
+    out, inside = [], False
+    for i, seg in enumerate(segments):
+        if _STATEMENT.match(seg) or (_SELECT.match(seg) and (_FROM.search(seg) or (i + 1 < len(segments) and _FROM.match(segments[i + 1].lstrip())))):
+            inside = True
+        elif inside and not _CLAUSE.match(seg):
+            inside = False
+        out.append(inside or bool(_MACHINE.match(seg)))
+    return out
 
 
 def features(text: str | None) -> dict[str, float]:
@@ -66,44 +92,48 @@ def features(text: str | None) -> dict[str, float]:
     if not words:
         return out
     out["terms"] = float(len(words))
-    out["function"] = sum(map(WORDS.__contains__, words)) / len(words)
+    known = [w in WORDS for w in words]
+    out["function"] = sum(known) / len(words)
     out["unique"] = len(set(words)) / len(words)
-    marks = sum(map(low.count, "#|/,;"))
-    if out["function"] >= 0.2 and out["unique"] >= 0.4 and marks < 0.1 * len(words):
-        out["prose"] = 1.0
-        return out
-    content = [_DIGITS.sub("0", w) for w in words if w not in WORDS]
-    out["near"], out["auto"] = recurrence(content)
-    listed = prose = total = 0
+    out["near"], out["auto"] = recurrence([_DIGITS.sub("0", w) for w, k in zip(words, known) if not k])
     segments = _SEGMENT.split(low)
-    short = [bool(_ITEM.match(x)) and len(t := _TERM.findall(x)) <= 6 and not any(map(WORDS.__contains__, t)) and not _NEUTRAL.match(x) for x in segments]
+    machine = machine_lines(segments)
+    terms = [_TERM.findall(x) for x in segments]
+    short = [not m and len(t) <= 6 and bool(_ITEM.match(x)) and not any(map(WORDS.__contains__, t)) for x, t, m in zip(segments, terms, machine)]
     items = sum(short) >= 10  # many short lines without function words are a list, a few are headings or fields
-    for seg, item in zip(segments, short):
-        tokens = _TERM.findall(seg)
+    listed = prose = total = 0
+    for seg, item, tokens, skip in zip(segments, short, terms, machine):
         size = len(seg.strip())
         if not size:
             continue
         total += size
-        if _NEUTRAL.match(seg):
+        if skip:
             continue
+        n = len(tokens)
         fw = sum(map(WORDS.__contains__, tokens))
-        links = sum(map(len, _LINK.findall(seg)))
         cuts = len(_SEPARATOR.findall(seg))
-        short_fields = cuts >= 3 and len(tokens) <= 3.5 * (cuts + 1) and fw <= 0.2 * len(tokens)
-        if links > 0.3 * size or short_fields or (items and item) or (fw <= 0.08 * len(tokens) and (cuts >= 1 or not tokens or len(tokens) > 12)):
+        links = sum(map(len, _LINK.findall(seg)))
+        short_fields = cuts >= 3 and n <= 3.5 * (cuts + 1) and fw <= 0.2 * n
+        ends = bool(_END.search(seg))
+        dense = cuts >= 2 and n <= 3.5 * (cuts + 1) if ends else cuts >= 1 and n <= 6 * (cuts + 1)
+        loose = n > 12 and sum(len(t) <= 3 for t in tokens) < 0.12 * n and not ends
+        if links > 0.3 * size or short_fields or (items and item) or not n or (fw <= 0.08 * n and (dense or loose)):
             listed += size
-        elif fw >= 0.1 * len(tokens):
+        elif fw >= 0.1 * n or n > 4:
             prose += size
     out["listed"], out["prose"] = listed / max(total, 1), prose / max(total, 1)
     return out
 
 
 def is_spam(f: dict[str, float]) -> bool:
-    """By far the most of the text is repeated keywords, links, tags or attributes."""
-    if f["terms"] < 20:
+    """By far the most of the text is repeated keywords, links, tags or attributes; texts of under 8 terms repeat nothing.
+
+    Among function words, repetition counts only in step (a few sentences said again are none).
+    """
+    if f["terms"] < LEAST_TERMS:
         return False
-    regular = f["near"] >= 0.4 and f["auto"] >= 0.25 and f["unique"] <= 0.3
-    stuffed = (f["near"] >= 0.55 and f["unique"] <= 0.35 or regular) and f["function"] < 0.35
+    in_step = f["auto"] >= 0.25 and f["near"] >= 0.4 or f["auto"] >= 0.5
+    stuffed = (in_step or (f["near"] + f["auto"] >= 0.6 and f["function"] < 0.35)) and f["unique"] <= 0.35
     listing = f["listed"] >= 0.55 and f["prose"] <= 0.45
     return stuffed or listing
 

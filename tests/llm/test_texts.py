@@ -191,6 +191,38 @@ def test_lists_of_one_item_a_line():
     assert not spam.is_spam(spam.features(PROSE * 4 + "\n" + "\n".join(f"- {x}" for x in pairs[:12])))
 
 
+FOREIGN = [
+    "Nocne ładowanie zostało zatrzymane, ponieważ źródło przysłało nową kolumnę. Zespół sprawdził tabelę, poprawił regułę i uruchomił zadanie ponownie. Wyniki wyglądają teraz poprawnie, a raport dla działu sprzedaży został wysłany w poniedziałek rano.",
+    "De nachtelijke lading werd gestopt omdat de bron een nieuwe kolom had gestuurd. Het team heeft de tabel bekeken, de regel aangepast en de taak opnieuw gestart. De cijfers kloppen nu weer en het rapport voor verkoop ging maandag de deur uit.",
+    "Gece yüklemesi durduruldu, çünkü kaynak yeni bir sütun göndermişti. Ekip tabloyu inceledi, kuralı düzeltti ve görevi yeniden başlattı. Sonuçlar şimdi doğru görünüyor ve satış bölümünün raporu pazartesi sabahı gönderildi.",
+    "Ночная загрузка была остановлена, потому что источник прислал новый столбец. Команда проверила таблицу, исправила правило и снова запустила задание. Теперь итоги сходятся, а отчёт для отдела продаж отправлен в понедельник утром.",
+]
+
+
+def test_languages_without_a_word_list():
+    assert [spam.is_spam(spam.features(t)) for t in FOREIGN] == [False] * len(FOREIGN)
+    assert all(spam.is_spam(spam.features((t.split(". ")[0] + " ") * 12)) for t in FOREIGN), "a phrase repeated in step"
+
+
+def test_repetition_in_step_decides_whatever_the_words():
+    rng = random.Random(12)
+    towns = ["Rome", "Bern", "Oslo", "Kyiv"]
+    text = " ".join(f"the cheap shoes and the cheap boots and the cheap hats for sale in the city of {rng.choice(towns)}" for _ in range(13))
+    assert spam.is_spam(spam.features(text))
+    cycle = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    f = spam.features((cycle + " and the end. ") * 9)
+    assert f["near"] < 0.05 and f["auto"] > 0.9 and spam.is_spam(f) and not spam.is_spam(f | {"auto": 0.0}), "only the autocorrelation tells"
+
+
+def test_lists_behind_words_of_statements():
+    table = "\n".join(["sofa | lamp | chair | table"] * 10)
+    for text in (table, table.replace("sofa", "with sofa"), table.replace("sofa", "From: sofa"), "\n".join("{" + x + "}" for x in table.split("\n"))):
+        assert spam.is_spam(spam.features(text))
+    query = "SELECT region, city, sum(total), avg(age)\nFROM sales, stores, days\nWHERE region, city IN (a, b, c, d)\nGROUP BY region, city"
+    log = "2025-01-26 09:25:31,322 WARN [extractor] rows=9435, batch=7b3c, a, b, c, d, e"
+    assert not spam.is_spam(spam.features(PROSE + query)) and not spam.is_spam(spam.features("\n".join([log, PROSE, query, log, '{"a": 1, "b": 2, "c": 3}'])))
+
+
 def test_long_odd_texts_take_linear_time():
     import time
 
@@ -209,10 +241,17 @@ def test_recurrence_against_brute_force():
         assert near == pytest.approx(back / len(terms)) and 0 <= auto <= 1
 
 
+def _long_prose() -> str:
+    """Sentences that are all different, of a vocabulary of their own."""
+    rng = random.Random(13)
+    nouns = ["".join(rng.choice("aeiourstlnm") for _ in range(6)) for _ in range(800)]
+    return " ".join(f"After the {rng.choice(nouns)} of the {rng.choice(nouns)} we had to {rng.choice(nouns)} it with a {rng.choice(nouns)}, but not {rng.choice(nouns)}." for _ in range(4000))
+
+
 def test_spam_frame_and_long_texts(spark):
-    rows = [(i, t, "x") for i, t in enumerate(SPAM + HONEST)] + [(100, PROSE * 3000, "x"), (101, SPAM[0] * 500, "x")]
+    rows = [(i, t, "x") for i, t in enumerate(SPAM + HONEST)] + [(100, _long_prose(), "x"), (101, SPAM[0] * 500, "x"), (102, PROSE * 3000, "x")]
     got = {r["doc_id"] for r in spam.find_spam(spark.createDataFrame(rows, "doc_id bigint, text string, near string")).collect()}
-    assert got == set(range(len(SPAM))) | {101}
+    assert got == set(range(len(SPAM))) | {101, 102}, "a sentence repeated in step is no prose"
 
 
 # ---- near-duplicates ----------------------------------------------------------------------------------------------------
