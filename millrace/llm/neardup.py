@@ -4,15 +4,14 @@ Words (letter case, spacing and punctuation aside) give a class per distinct tex
 of words (a word's second occurrence is another element); each key row carries a signature of the text's three-word
 shingles. :class:`HistoryIndex` keeps the rows in files bucketed by the hash of the key and sorted by key. A load writes
 the new batches' keys as a run of its own, then merges the buckets: a record meets only accepted records of earlier
-batches that hold the same key, and the pair goes on if its signatures agree enough. Pairs are then held to a larger
-signature, one row a class, and verified on the words: the longest common subsequence must cover at least ``MIN_SHARED``
-of the longer text. Copies are expanded from classes only at the end.
+batches that hold the same key, and the pair goes on if its signatures agree enough. Pairs are then verified on the words: the
+longest common subsequence must cover at least ``MIN_SHARED`` of the longer text. Copies are expanded from classes only at the end.
 
 Why bags of words and a subsequence instead of five-word shingles and 0.8: here texts count as nearly the same with up
 to an eighth of their words changed, which scattered changes turn into a five-word similarity far below 0.8, while the
-bags still agree in 0.74 to 0.8 and those of other texts hardly in over 0.35. 32 bands of 7 rows meet with probability
-0.98 to 0.999 there. The similarity of three-word shingles is 0.42 at least then (24 words, every eighth changed), and
-both signature cuts lie four and a half standard deviations below it, whatever the length.
+bags still agree in 0.74 to 0.8 and those of other texts hardly in over 0.35. 32 bands of 8 rows meet with probability
+0.95 to 0.997 there. The similarity of three-word shingles is 0.42 at least then (24 words, every eighth changed; 0.5
+where changes fall at random), and the cut on the signatures lies three and a half standard deviations below the least.
 """
 
 from __future__ import annotations
@@ -29,18 +28,16 @@ from pyspark.sql import functions as F
 
 from millrace.session import delete_path, materialise
 
-ROWS, BANDS, SHINGLE = 7, 32, 3
+ROWS, BANDS, SHINGLE = 8, 32, 3
 MIN_WORDS, MIN_SHARED = 20, 0.8
 #: Least similarity of the three-word shingles of two texts with an eighth of their words changed, and how many
-#: standard deviations below it the cuts lie.
-LEAST, MARGIN = 0.42, 4.5
-#: What texts may lie below the least similarity where it is known exactly (a change more than an eighth).
-EXACT_SLACK = 0.17
-#: Two-bit minwise values that travel with every key, smallest shingle hashes that are kept once a class.
-SKETCH, SMALLEST = 128, 64
+#: standard deviations below it the cut lies.
+LEAST, MARGIN = 0.42, 3.5
+#: Two-bit minwise values that travel with every key, 32 to a number.
+SKETCH = 192
 #: Rows of a bucket, about; rows of one key beyond which its group is split; keys and ids named in a filter at most.
 BUCKET_KEYS, HOT_KEY, NAMED = 100_000, 20_000, 10_000
-_SIGNS = ("s0", "s1", "s2", "s3")
+_SIGNS = tuple(f"s{k}" for k in range(SKETCH // 32))
 _AGREE = LEAST + (1 - LEAST) / 4
 _NEED = int(SKETCH * (_AGREE - MARGIN * (_AGREE * (1 - _AGREE) / SKETCH) ** 0.5))
 
@@ -81,73 +78,84 @@ _HASHES = _WordHash()
 
 
 def _least(x: np.ndarray, at: slice) -> np.ndarray:
-    """Smallest value of each of the permutations ``at`` over the elements."""
-    low = np.full(len(_A[at]), np.iinfo(np.uint32).max, np.uint32)
-    for lo in range(0, len(x), 2048):
-        v = x[lo : lo + 2048, None] * _A[None, at] + _B[None, at]
-        v ^= v >> np.uint32(15)
-        np.minimum(low, v.min(axis=0), out=low)
+    """Smallest value of each of the permutations ``at`` over the elements, in pieces that stay in the cache."""
+    a, b = _A[at], _B[at]
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    if len(x) < 512:
+        v = np.empty((128, len(a)), np.uint32)
+        for lo in range(0, len(x), 128):
+            part = x[lo : lo + 128]
+            w = v[: len(part)]
+            np.multiply(part[:, None], a, out=w)
+            np.add(w, b, out=w)
+            np.minimum(low, w.min(axis=0), out=low)
+        return low
+    v = np.empty((16, min(len(x), 8192)), np.uint32)
+    for lo in range(0, len(x), 8192):
+        part = x[lo : lo + 8192]
+        for k in range(0, len(a), 16):
+            w = v[: len(a[k : k + 16]), : len(part)]
+            np.multiply(part, a[k : k + 16, None], out=w)
+            np.add(w, b[k : k + 16, None], out=w)
+            np.minimum(low[k : k + 16], w.min(axis=1), out=low[k : k + 16])
     return low
 
 
-def signature(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Band keys (int64), the signature that travels with them (four int64) and the smallest shingle hashes."""
+def minima(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values of the bag of words and of the three-word shingles."""
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     bag = np.sort(h)
     first = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
     nth = np.arange(len(bag)) - np.repeat(first, np.diff(np.r_[first, len(bag)]))
-    rows = _least((_mix(bag * _K1 + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), slice(0, ROWS * BANDS)).astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) * _K1
-    for r in range(ROWS):
-        key = _mix(key * _K1 + rows[:, r])
-    s = h[: len(h) - SHINGLE + 1].copy()
+    elements = (_mix(bag * _K1 + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    s = h[: len(h) - SHINGLE + 1]
     for k in range(1, SHINGLE):
         s = _mix(s * _K1 + h[k : len(h) - SHINGLE + 1 + k])
-    x = np.unique((_mix(s) >> np.uint64(32)).astype(np.uint32))
-    two = (_least(x, slice(ROWS * BANDS, None)) >> np.uint32(30)).astype(np.uint64).reshape(4, SKETCH // 4)
-    sign = np.bitwise_or.reduce(two << (np.arange(SKETCH // 4, dtype=np.uint64) * np.uint64(2)), axis=1)
-    return key.view(np.int64), sign.view(np.int64), x[:SMALLEST].astype("<u4").tobytes()
+    return _least(elements, slice(0, ROWS * BANDS)), _least((s >> np.uint64(32)).astype(np.uint32), slice(ROWS * BANDS, None))
 
 
-def enough(a: bytes, b: bytes) -> bool:
-    """Whether the smallest shingle hashes allow the least similarity; short texts keep all their hashes, which is exact."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    exact = max(len(x), len(y)) < SMALLEST
-    both = np.union1d(x, y)[: None if exact else SMALLEST]
-    share = len(np.intersect1d(np.intersect1d(both, x, True), y, True)) / max(1, len(both))
-    return share >= LEAST - (EXACT_SLACK if exact else MARGIN * (LEAST * (1 - LEAST) / SMALLEST) ** 0.5)
+def signatures(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts, bands) and the signatures that travel with them (texts, numbers), both int64."""
+    both = [minima(t) for t in texts]
+    rows = np.array([m[0] for m in both], np.uint64).reshape(len(texts), BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)[None, :] * _K1 + np.zeros((len(texts), 1), np.uint64)
+    for r in range(ROWS):
+        key = _mix(key * _K1 + rows[:, :, r])
+    two = (np.array([m[1] for m in both], np.uint64) & np.uint64(3)).reshape(len(texts), -1, 32)
+    sign = np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
+    return key.view(np.int64), sign.view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``n_words, bands, s0`` to ``s3`` and ``smallest``.
+    """``doc_id, batch_no, row_id`` -> adds ``cls_a, cls_b`` (128 bits of the words), ``n_words, bands`` and the signature ``s0`` to ``s5``.
 
     Texts of fewer than ``MIN_WORDS`` words, null and empty ones are not compared and have no row.
     """
-    names = ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words", "bands", *_SIGNS, "smallest"]
+    names = ["doc_id", "batch_no", "row_id", "cls_a", "cls_b", "n_words", "bands", *_SIGNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keep, cls, sizes, done = [], [], [], []
+            keep, cls, sizes, kept_words = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 w = words(text)
                 if len(w) >= MIN_WORDS:
                     keep.append(i)
                     cls.append(xxhash.xxh3_128_digest(" ".join(w)))
                     sizes.append(len(w))
-                    done.append(signature(w))
+                    kept_words.append(w)
             if not keep:
                 continue
             kept = batch.take(pa.array(keep))
             c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
-            signs = np.array([d[1] for d in done])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keep) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate([d[0] for d in done])))
-            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sizes, pa.int32()), lists, *[pa.array(signs[:, k].copy()) for k in range(4)], pa.array([d[2] for d in done], pa.binary())]
+            keys, signs = signatures(kept_words)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keep) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
+            arrays = [kept.column(0), kept.column(1), kept.column(2), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sizes, pa.int32()), lists, *[pa.array(signs[:, k].copy()) for k in range(len(_SIGNS))]]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("batch_no").cast("bigint"), F.lower(F.trim("_row_id")).alias("row_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, n_words int, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _SIGNS) + ", smallest binary")
+    return rows.mapInArrow(run, "doc_id bigint, batch_no bigint, row_id string, cls_a bigint, cls_b bigint, n_words int, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _SIGNS))
 
 
 def shared_words(a: list[str], b: list[str]) -> float:
@@ -187,17 +195,6 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def alike(pairs: DataFrame) -> DataFrame:
-    """Keep the pairs ``a, b, small_a, small_b`` whose larger signatures allow the least similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = pa.array([enough(x, y) for x, y in zip(batch["small_a"].to_pylist(), batch["small_b"].to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
-
-    return pairs.select("a", "b", "small_a", "small_b").mapInArrow(run, "a bigint, b bigint")
-
-
 def _plausible() -> Column:
     """Lengths allow enough common words, and the two-bit signatures agree in as many places as similar texts do."""
     n, m = F.col("o.n_words"), F.col("n.n_words")
@@ -272,8 +269,6 @@ class HistoryIndex:
         keys.repartition(buckets, "key").withColumn("run", F.lit(run).cast("bigint")).write.mode("append").partitionBy("run").bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         pairs = materialise(self._candidates(run), "pairs")
-        small = sketched.select(F.col("doc_id"), "smallest")
-        pairs = self._alike(pairs, small, run)
         return self._expand(self._verified(pairs, docs if texts is None else texts), run)
 
     def _candidates(self, run: int) -> DataFrame:
@@ -304,14 +299,6 @@ class HistoryIndex:
         each = old.join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)))
         return rest.unionByName(each.alias("o").join(salted.alias("n"), same & (F.col("o.salt") == F.col("n.salt")) & wanted & _plausible()).select(*pick))
 
-    def _alike(self, pairs: DataFrame, small: DataFrame, run: int) -> DataFrame:
-        """Hold the pairs to the larger signatures, kept once a class."""
-        reps = self._stored("classes").where(F.col("run") == run).select(F.col("rep").alias("doc_id"))
-        small.join(reps, "doc_id", "left_semi").write.mode("overwrite").parquet(f"{self.path}/smallest/run={run}")
-        every = self._stored("smallest").select("doc_id", "smallest")
-        both = pairs.join(every.toDF("a", "small_a"), "a").join(every.toDF("b", "small_b"), "b")
-        return materialise(alike(both), "alike")
-
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         named = [r[0] for r in wanted.limit(NAMED + 1).collect()]
