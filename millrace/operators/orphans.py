@@ -1,90 +1,106 @@
-"""References to records that do not exist: contiguous key runs and an as-of match.
+"""References to records that do not exist: sorted keys as integers, runs of parents, an as-of match.
 
-Parent keys are integers inside a key space (a UUID is its upper 64 bits as space and its lower 64 bits as key, a
-batch id its spelling around the offset as space and the offset as key). Sorted keys are compressed into runs of
-consecutive values; a reference looks up the last run that starts at or before it and is an orphan if it lies
-beyond that run's end.
+Keys are canonical bytes (a UUID is its 128 bits, any other text itself). The distinct keys of parents and references
+are ranked together in sorted order, block by block, which turns them into dense integers: the parents' integers then
+form contiguous runs that only an orphan interrupts, so the runs of a block number its orphans plus one however the keys
+are spread. A reference is matched as-of to the last run that starts at or before it and is an orphan if it lies beyond
+that run's end; a run's rows are its start and length, nothing is looked up key by key.
 
-Sorting happens inside blocks of 2 ** BLOCK_BITS consecutive keys of a space, so no sort is larger than a block
-whatever the distribution, and no key, parent or child, appears in it more than once: both sides are reduced to
-distinct keys with map-side combine before they are shuffled. A hot key is one row there.
+Blocks are hash buckets of about ``BLOCK_KEYS`` keys, so no sort is larger than a block whatever the distribution of the
+keys (sequential, random or time-ordered ones), and no key is in a sort more than once: both sides are reduced to
+distinct keys with a map-side combine first, so a key that a third of all rows hold is one row there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 12
+BLOCK_KEYS = 4096
+
+
+def uuid_key(c: Column) -> Column:
+    """The 16 bytes of a UUID however it is written (case, braces, dashes, urn prefix); of any other text, its own bytes after a mark."""
+    bare = F.replace(F.translate(F.lower(c), "-{}() \t\r\n", ""), F.lit("urn:uuid:"), F.lit(""))
+    bits = F.when(F.length(bare) == 32, F.unhex(bare))
+    return F.coalesce(bits, F.encode(F.concat(F.lit("?"), c), "utf-8"))
+
+
+def text_key(c: Column) -> Column:
+    """The bytes of the text as it is."""
+    return F.encode(c, "utf-8")
 
 
-def key_runs(parents: DataFrame) -> DataFrame:
-    """Runs of consecutive keys of ``parents(space, key bigint, at timestamp)``.
+@dataclass(frozen=True)
+class Reference:
+    """A column of the child table that names rows of a parent table, and the deletions of that table."""
 
-    Returns ``space, block, run_start, run_end, at`` where ``at`` holds the earliest time of each key of the run in
-    key order. Null keys or spaces form no run; repeated keys count once.
+    field: str
+    key: Callable[[Column], Column]
+    parent: DataFrame
+    parent_key: str
+    parent_time: str
+    tombstones: DataFrame
+    tombstone_key: str = "target_key"
+
+
+def runs(keys: DataFrame) -> DataFrame:
+    """Adds ``rank, run_start, run_end`` to distinct ``keys(field, block, key, is_parent, ...)``.
+
+    ``rank`` is the place of the key in its block's sorted order; a run is a contiguous stretch of parents; every key gets
+    the last run that starts at or before it (null where there is none).
     """
-    keys = parents.where("space is not null and key is not null").groupBy("space", "key").agg(F.min("at").alias("at"))
-    keys = keys.withColumn("block", F.expr(f"shiftright(key, {BLOCK_BITS})"))
-    w = Window.partitionBy("space", "block").orderBy("key")
-    prev = F.lag("key").over(w)
-    marked = keys.withColumn("starts", F.when(prev.isNull() | (F.col("key") - prev > 1), F.col("key"))).withColumn("run_start", F.last("starts", True).over(w))
-    return marked.groupBy("space", "block", "run_start").agg(F.max("key").alias("run_end"), F.transform(F.array_sort(F.collect_list(F.struct("key", "at"))), lambda x: x["at"]).alias("at"))
-
-
-def match_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """As-of match of ``refs(space, key)`` (distinct) with :func:`key_runs`: adds ``found boolean`` and ``at``."""
-    runs_side = runs.select("space", "block", F.col("run_start").alias("key"), F.lit(0).alias("side"), F.struct("run_end", "run_start", "at").alias("run"), *[F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in refs.columns if c not in ("space", "key")])
-    refs_side = refs.withColumn("block", F.expr(f"shiftright(key, {BLOCK_BITS})")).withColumn("side", F.lit(1)).withColumn("run", F.lit(None).cast(runs_side.schema["run"].dataType))
-    w = Window.partitionBy("space", "block").orderBy("key", "side")
-    both = runs_side.unionByName(refs_side).withColumn("run", F.last("run", True).over(w)).where("side = 1")
-    inside = F.coalesce(F.col("key") <= F.col("run.run_end"), F.lit(False))
-    return both.select(*refs.columns, inside.alias("found"), F.when(inside, F.expr("get(run.at, cast(key - run.run_start as int))")).alias("at"))
-
-
-def uuid_parts(c: Column) -> tuple[Column, Column]:
-    """(space, key) of a UUID however it is written (case, braces, dashes, urn prefix); of any other text, (text, 0)."""
-    bare = F.regexp_replace(F.lower(F.trim(c)), r"^urn:uuid:|[{}()\s-]", "")
-    ok = bare.rlike(r"\A[0-9a-f]{32}\z")
-    space = F.when(ok, F.substring(bare, 1, 16)).when(c.isNotNull(), F.concat(F.lit("?"), c))
-    key = F.when(ok, F.conv(F.substring(bare, 17, 16), 16, -10).cast("bigint")).when(c.isNotNull(), F.lit(0).cast("bigint"))
-    return space, key
-
-
-def batch_parts(c: Column) -> tuple[Column, Column]:
-    """(space, key) of a batch id ``batch_{source}_{offset}_{hash}``: the offset in its spelling; of other text, (text, 0)."""
-    form = r"^(.*_)(0|[1-9][0-9]{0,17})(_[^_]*)$"
-    ok = c.rlike(form)
-    space = F.when(ok, F.concat_ws("\u0001", F.regexp_extract(c, form, 1), F.regexp_extract(c, form, 3))).otherwise(F.concat(F.lit("?"), c))
-    key = F.when(ok, F.regexp_extract(c, form, 2).cast("bigint")).when(c.isNotNull(), F.lit(0).cast("bigint"))
-    return space, key
-
-
-def orphan_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Problem keys among ``refs(space, key, at)`` against ``parents(space, key, at)`` and ``tombstones(space, key)``.
-
-    Returns ``space, key, found, deleted, parent_at`` of each distinct key that is missing or whose parent is later
-    than at least one reference. Null references are none; null times are never late; empty inputs are allowed.
+    w = Window.partitionBy("field", "block").orderBy("key")
+    starts = F.when(F.col("is_parent") & ~F.coalesce(F.lag("is_parent").over(w), F.lit(False)), F.col("rank"))
+    ranked = keys.withColumn("rank", F.row_number().over(w)).withColumn("run_start", starts).withColumn("run_start", F.last("run_start", True).over(w))
+    size = F.sum(F.col("is_parent").cast("int")).over(Window.partitionBy("field", "block", "run_start"))
+    return ranked.withColumn("run_end", F.when(F.col("run_start").isNotNull(), F.col("run_start") + size - 1))
+
+
+def run_table(keys: DataFrame) -> DataFrame:
+    """The runs alone, one row each: ``field, block, run_start, run_end``."""
+    return runs(keys).where("run_start is not null").select("field", "block", "run_start", "run_end").distinct()
+
+
+def distinct_keys(child: DataFrame, time_col: str, references: list[Reference], blocks: int) -> DataFrame:
+    """Keys of both sides, once each: ``field, block, key, is_parent, parent_at, is_ref, first_ref, deleted``."""
+    named = F.array(*[F.struct(F.lit(r.field).alias("field"), r.key(F.col(r.field).cast("string")).alias("key")) for r in references])
+    sides = [child.select(F.col(time_col).cast("timestamp").alias("at"), F.explode(named).alias("k")).select("k.field", "k.key", "at", F.lit(1).alias("side"))]
+    for r in references:
+        sides.append(r.parent.select(F.lit(r.field).alias("field"), r.key(F.col(r.parent_key).cast("string")).alias("key"), F.col(r.parent_time).cast("timestamp").alias("at"), F.lit(0).alias("side")))
+        sides.append(r.tombstones.select(F.lit(r.field).alias("field"), r.key(F.col(r.tombstone_key).cast("string")).alias("key"), F.lit(None).cast("timestamp").alias("at"), F.lit(2).alias("side")))
+    every = sides[0]
+    for s in sides[1:]:
+        every = every.unionByName(s)
+    side = F.col("side")
+    keys = every.where("key is not null").groupBy("field", "key").agg(
+        F.max(side == 0).alias("is_parent"), F.min(F.when(side == 0, F.col("at"))).alias("parent_at"), F.max(side == 1).alias("is_ref"), F.min(F.when(side == 1, F.col("at"))).alias("first_ref"), F.max(side == 2).alias("deleted")
+    )
+    return keys.where("is_parent or is_ref").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+
+
+def orphan_keys(child: DataFrame, time_col: str, references: list[Reference]) -> DataFrame:
+    """``field, key, found, deleted, parent_at`` of each referenced key beyond its run, or whose parent is later than at least one reference.
+
+    Null references are none; null times are never late; empty inputs are allowed.
     """
-    keys = refs.where("space is not null and key is not null").groupBy("space", "key").agg(F.min("at").alias("first_ref"))
-    hit = match_runs(keys, key_runs(parents)).where("not found or at > first_ref")
-    dead = tombstones.where("space is not null and key is not null").select("space", "key").distinct().withColumn("deleted", F.lit(True))
-    return hit.join(dead, ["space", "key"], "left").select("space", "key", "found", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.col("at").alias("parent_at"))
+    n = sum(r.parent.count() for r in references)
+    matched = runs(distinct_keys(child, time_col, references, max(1, n // BLOCK_KEYS)))
+    inside = F.coalesce(F.col("rank") <= F.col("run_end"), F.lit(False))
+    return matched.where("is_ref").select("field", "key", inside.alias("found"), "deleted", "parent_at", "first_ref").where("not found or parent_at > first_ref").drop("first_ref")
 
 
-def reference_problems(child: DataFrame, id_col: str, time_col: str, ref_col: str, parts, parent: DataFrame, parent_key: str, parent_time: str, tombstones: DataFrame) -> DataFrame:
+def reference_problems(child: DataFrame, id_col: str, time_col: str, references: list[Reference]) -> DataFrame:
     """One row per child row and broken reference: ``id_col, ref_field, kind, time_col``; identical child rows count once.
 
-    ``kind`` is ``late`` (the target's earliest time is after the child's), ``deleted`` (no target, a tombstone
-    names it) or ``missing``.
+    ``kind`` is ``late`` (the target's earliest time is after the child's), ``deleted`` (no target, a tombstone names it) or
+    ``missing``. A missing key that very many rows name is split over tasks by adaptive skew handling.
     """
-
-    def keyed(df: DataFrame, key: str, time: str | None) -> DataFrame:
-        space, k = parts(F.col(key).cast("string"))
-        return df.select(space.alias("space"), k.alias("key"), *([F.col(time).cast("timestamp").alias("at")] if time else []))
-
-    bad = orphan_references(keyed(child, ref_col, time_col), keyed(parent, parent_key, parent_time), keyed(tombstones, "target_key", None))
-    space, k = parts(F.col(ref_col).cast("string"))
-    rows = child.select(F.col(id_col).alias("__id"), F.col(time_col).cast("timestamp").alias("__at"), space.alias("space"), k.alias("key")).where("space is not null and key is not null")
+    bad = orphan_keys(child, time_col, references)
+    named = F.array(*[F.struct(F.lit(r.field).alias("field"), r.key(F.col(r.field).cast("string")).alias("key")) for r in references])
+    rows = child.select(F.col(id_col).alias("__id"), F.col(time_col).cast("timestamp").alias("__at"), F.explode(named).alias("k")).select("__id", "__at", "k.field", "k.key").where("key is not null")
     kind = F.when(~F.col("found"), F.when(F.col("deleted"), "deleted").otherwise("missing")).when(F.col("parent_at") > F.col("__at"), "late")
-    return rows.join(bad, ["space", "key"]).select(F.col("__id").alias(id_col), F.lit(ref_col).alias("ref_field"), kind.alias("kind"), F.col("__at").alias(time_col)).where("kind is not null").distinct()
+    return rows.join(bad, ["field", "key"]).select(F.col("__id").alias(id_col), F.col("field").alias("ref_field"), kind.alias("kind"), F.col("__at").alias(time_col)).where("kind is not null").distinct()

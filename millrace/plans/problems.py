@@ -13,11 +13,15 @@ def _dead(spark: SparkSession, d: str, target: str) -> DataFrame:
     return table(spark, d, "row_tombstones").where(F.lower(F.trim("target_table")) == target)
 
 
+def _silver_references(spark: SparkSession, d: str) -> list[orphans.Reference]:
+    return [
+        orphans.Reference("_bronze_row_id", orphans.uuid_key, table(spark, d, "bronze_customers"), "_row_id", "_extracted_at", _dead(spark, d, "bronze_customers")),
+        orphans.Reference("_batch_id", orphans.text_key, table(spark, d, "extraction_checkpoints"), "last_batch_id", "updated_at", _dead(spark, d, "extraction_checkpoints")),
+    ]
+
+
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
-    silver = table(spark, d, "silver_customers")
-    rows = orphans.reference_problems(silver, "_row_id", "_cleaned_at", "_bronze_row_id", orphans.uuid_parts, table(spark, d, "bronze_customers"), "_row_id", "_extracted_at", _dead(spark, d, "bronze_customers"))
-    batches = orphans.reference_problems(silver, "_row_id", "_cleaned_at", "_batch_id", orphans.batch_parts, table(spark, d, "extraction_checkpoints"), "last_batch_id", "updated_at", _dead(spark, d, "extraction_checkpoints"))
-    return rows.unionByName(batches)
+    return orphans.reference_problems(table(spark, d, "silver_customers"), "_row_id", "_cleaned_at", _silver_references(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,14 +42,14 @@ def p5_messages(spark: SparkSession, d: str) -> DataFrame:
     return exactly_once.messages(table(spark, d, "deduplication_log")).select("_dedup_key", "_stage", "_row_id", "n_deliveries")
 
 
-def _p6(spark: SparkSession, d: str, *keep: str, detail: bool = True):
+def _p6(spark: SparkSession, d: str, *keep: str):
     formats = row_parse.formats_of(table(spark, d, "raw_formats"))
     rows = table(spark, d, "raw_rows").select("line_id", "_source_id", "_original_row", *keep).distinct()
-    return row_parse.classify(rows, formats, detail), formats
+    return row_parse.classify(rows, formats), formats
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d, detail=False)[0].where("_quarantine_reason is not null").select("line_id", "_quarantine_reason").distinct()
+    return _p6(spark, d)[0].where("_quarantine_reason is not null").select("line_id", "_quarantine_reason").distinct()
 
 
 def p6_valid(spark: SparkSession, d: str) -> DataFrame:
@@ -115,28 +119,22 @@ r AS (SELECT DISTINCT s._row_id, s._cleaned_at, '_bronze_row_id' AS ref_field, C
 """
 _P5 = "WITH m AS (SELECT regexp_replace(lower(_dedup_key), '^\\s*(sha256:)?|\\s+', '', 'g') AS k, _stage, _processed_at, _row_id FROM deduplication_log), g AS (SELECT k AS _dedup_key, _stage, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id NULLS LAST) AS _row_id, count(*) AS n_deliveries FROM m WHERE regexp_full_match(k, '[0-9a-f]{64}') GROUP BY 1, 2) "
 
-def _p6_sql() -> str:
-    """The record patterns in the dialect of the other engine, with the delimiter put in per row."""
-    any_field = """('("([^"]|"")*"|[^"' || d || ']*)')"""
-
-    def value(p: str) -> str:
-        p = p.replace("(?!0000)", "").replace("'", "''")
-        return f"'({p}|\"{p}\")'"
-
-    fields = [any_field if p is None else value(p) for p, _ in row_parse.FIELDS.values()]
-    sep = "('[' || d || ']')"
-    whole = f" || {sep} || ".join(fields)
-    return (
-        "WITH r AS (SELECT DISTINCT line_id, _source_id, _original_row AS o, delimiter AS d, n_columns AS n FROM raw_rows JOIN raw_formats USING (_source_id)), "
-        f"k AS (SELECT line_id, CASE WHEN o IS NULL THEN 'column_count' WHEN NOT regexp_full_match(o, {any_field} || '(' || {sep} || {any_field} || ')*') THEN 'broken_quoting' "
-        f"WHEN NOT regexp_full_match(o, {any_field} || '(' || {sep} || {any_field} || '){{' || (n - 1) || '}}') THEN 'column_count' WHEN NOT regexp_full_match(o, {whole}) THEN 'invalid_value' END AS _quarantine_reason FROM r) "
-        "SELECT DISTINCT line_id, _quarantine_reason FROM k WHERE _quarantine_reason IS NOT NULL"
-    )
-
+_FIELD = """("([^"]|"")*"|[^"' || d || ']*)"""
+_P6 = f"""
+WITH r AS (SELECT DISTINCT line_id, _batch_id, _source_id, _original_row AS o, delimiter AS d, n_columns AS n, string_split(header_line, delimiter) AS h FROM raw_rows JOIN raw_formats USING (_source_id)),
+q AS (SELECT *, regexp_full_match(o, '{_FIELD}([' || d || ']{_FIELD})*') AS sound FROM r),
+l AS (SELECT *, CASE WHEN sound THEN list_transform(regexp_extract_all(d || o, '[' || d || ']{_FIELD}'), lambda x: CASE WHEN x[2] = '"' THEN replace(x[3:-2], '""', '"') ELSE x[2:] END) END AS f FROM q),
+v AS (SELECT *, f[list_position(h, 'id')] AS id, f[list_position(h, 'username')] AS username, f[list_position(h, 'email')] AS email, f[list_position(h, 'age')] AS age, f[list_position(h, 'signup_date')] AS signup_date, f[list_position(h, 'amount')] AS amount, f[list_position(h, 'active')] AS active, f[list_position(h, 'note')] AS note FROM l),
+k AS (SELECT *, CASE WHEN o IS NULL THEN 'column_count' WHEN NOT sound THEN 'broken_quoting' WHEN len(f) <> n THEN 'column_count'
+ WHEN regexp_full_match(id, '[0-9]+') AND ltrim(id, '0') <> '' AND length(username) BETWEEN 3 AND 20 AND NOT regexp_matches(username, '[^A-Za-z0-9_]') AND regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')
+ AND (age = '' OR (regexp_full_match(age, '[0-9]+') AND try_cast(age AS HUGEINT) BETWEEN 0 AND 150)) AND regexp_full_match(signup_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(signup_date AS DATE) IS NOT NULL
+ AND regexp_full_match(amount, '-?[0-9]+([.][0-9]+)?') AND active IN ('true', 'false') THEN NULL ELSE 'invalid_value' END AS _quarantine_reason FROM v)
+"""
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
-    "p6_found": _p6_sql(),
+    "p6_found": _P6 + "SELECT DISTINCT line_id, _quarantine_reason FROM k WHERE _quarantine_reason IS NOT NULL",
+    "p6_valid": _P6 + "SELECT line_id, _batch_id, _source_id, CAST(id AS DECIMAL(38,0)) AS id, username, email, try_cast(age AS INTEGER) AS age, CAST(signup_date AS DATE) AS signup_date, CAST(amount AS DECIMAL(38,10)) AS amount, active = 'true' AS active, note FROM k WHERE _quarantine_reason IS NULL",
     "p3_found": P3_CTE + "SELECT DISTINCT _row_id, ref_field, kind FROM r WHERE kind IS NOT NULL",
     "p3_counts": P3_CTE + "SELECT 'silver_customers' AS table_name, ref_field, kind, strftime(_cleaned_at, '%Y-%m') AS month, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL",
     "p5_found": _P5 + "SELECT _dedup_key, _stage, _row_id FROM g WHERE n_deliveries > 1",
