@@ -5,7 +5,9 @@ permuted identifier (the quotient) name the shard and the home slot, all other b
 in full, so a look-up can never return a false match, and the identifier can be restored from its place.
 
 Each map task first fills its own table (a map-side combine: a digest that holds a third of all rows leaves a
-task as one row per flush), then rows are shuffled by shard, and each shard inserts every identifier once.
+task as one row per flush), then rows are shuffled and sorted by shard, and each shard inserts every identifier once. A
+table is handed on at the end of the shard in which it reached ``FLUSH_ENTRIES``, so a task holds about as many entries
+however many its partition has.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 #: log2 of the number of shards an identifier space is cut into; shuffle partitions hold whole shards.
-SHARD_BITS = 12
-#: Entries after which a map task hands its table on and begins a new one.
+SHARD_BITS = 20
+#: Entries after which a task hands its table on and begins a new one (on the reduce side at the end of a shard).
 FLUSH_ENTRIES = 250_000
 _LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -150,13 +154,16 @@ def _before(a: str | None, b: str | None) -> bool:
 
 
 def _words(keys: pa.Array) -> np.ndarray:
-    raw = b"".join(keys.to_pylist())
-    return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, 4)
+    """The four words of each 32-byte identifier, straight from the buffers."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, keys.offset * 4) if len(keys) else np.zeros(1, np.int32)
+    raw = keys.buffers()[2]
+    return np.frombuffer(raw, ">u8", len(keys) * 4, int(offsets[0])).astype(np.uint64).reshape(-1, 4) if len(keys) else np.empty((0, 4), np.uint64)
 
 
 def _binary(words: np.ndarray) -> pa.Array:
-    raw = words.astype(">u8").tobytes()
-    return pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary())
+    raw = np.ascontiguousarray(words.astype(">u8"))
+    offsets = np.arange(0, 32 * len(words) + 1, 32, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
 _STATE = "shard int, id binary, stage string, n bigint, ts bigint, row_id string"
@@ -202,15 +209,25 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: a partition holds whole shards; one table per stage covers them, as shards differ in the quotient."""
+    """Reduce side: rows come sorted by shard; one table per stage covers the shards of a stretch, as shards differ in the quotient."""
     tables: dict = {}
+    last = -1
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, n, ts, row, codes, names = _columns(batch)
-        for c in np.unique(codes):
-            at = codes == c
-            tables.setdefault((None, names[c]), QuotientTable()).insert(ids[at], n[at], ts[at], row[at])
+        shard = batch["shard"].to_numpy()
+        change = np.flatnonzero(shard != shard[0])  # a batch is small: its first change of shard is near enough
+        cuts = [0, *change[:1].tolist(), len(shard)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if shard[lo] != last and sum(t.used for t in tables.values()) >= FLUSH_ENTRIES:
+                yield from _flush(tables, True)
+                tables = {}
+            part = slice(lo, hi)
+            for c in np.unique(codes[part]):
+                at = np.flatnonzero(codes[part] == c) + lo
+                tables.setdefault((None, names[c]), QuotientTable()).insert(ids[at], n[at], ts[at], row[at])
+            last = shard[hi - 1]
     yield from _flush(tables, True)
 
 
@@ -231,7 +248,7 @@ def messages(log: DataFrame, key: str = "_dedup_key", stage: str = "_stage", tim
         F.unhex(digest(F.col(key))).alias("id"), F.col(stage).cast("string").alias("stage"), F.lit(1).cast("bigint").alias("n"), F.unix_micros(F.col(time).cast("timestamp")).alias("ts"), F.col(row).cast("string").alias("row_id")
     ).where("id is not null")
     combined = rows.mapInArrow(_combine, _STATE)
-    return combined.repartition("shard").mapInArrow(_insert, _STATE).select(
+    return combined.repartition("shard").sortWithinPartitions("shard").mapInArrow(_insert, _STATE).select(
         F.lower(F.hex("id")).alias("_dedup_key"), F.col("stage").alias("_stage"), F.col("n").alias("n_deliveries"), F.timestamp_micros("ts").alias("_processed_at"), F.col("row_id").alias("_row_id")
     )
 
@@ -241,12 +258,29 @@ def repeated(log: DataFrame, **names: str) -> DataFrame:
     return messages(log, **names).where("n_deliveries > 1").select("_dedup_key", "_stage", "_row_id")
 
 
+#: Quotient and remainder of stored identifiers: the quotient's top bits name the folder.
+_STORED = "part int, quotient bigint, remainder binary, _dedup_key string, _stage string, _processed_at timestamp, _row_id string"
+PART_BITS = 8
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quotient (64 permuted bits) and remainder (the other 192) of each message's identifier."""
+    for b in batches:
+        ids = permute(_words(b["id"]))
+        rest = np.ascontiguousarray(ids[:, 1:].astype(">u8"))
+        offsets = np.arange(0, 24 * len(ids) + 1, 24, dtype=np.int32)
+        remainder = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(rest)])
+        part = pa.array((ids[:, 0] >> np.uint64(64 - PART_BITS)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part, pa.array(ids[:, 0].copy().view(np.int64)), remainder, *(b[c] for c in ("_dedup_key", "_stage", "_processed_at", "_row_id"))], ["part", "quotient", "remainder", "_dedup_key", "_stage", "_processed_at", "_row_id"])
+
+
 class QuotientStore:
-    """Persisted identifiers, parquet by shard, for batches that arrive over time.
+    """Persisted identifiers, parquet by the top bits of the quotient, for batches that arrive over time.
 
-    ``insert`` returns the rows of a batch that are new (one per message) and appends their identifiers. It reads
-    only the shards that the batch touches, and of these only identifiers. A batch that is written again after
-    a failure finds its own folder and replaces it, so a retry is not taken for a repetition.
+    ``insert`` returns the rows of a batch that are new (one per message) and appends quotient and complete remainder of
+    their identifiers, sorted by quotient. It reads only the parts that the batch touches, and of these only identifiers:
+    exact, no false match. A batch that is written again after a failure finds its own folder and replaces it, so a retry
+    is not taken for a repetition. The rows to keep lie beside the identifiers, so a reader of history opens no text.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -254,7 +288,7 @@ class QuotientStore:
 
     def _history(self, batch_id: int) -> DataFrame | None:
         try:
-            seen = self.spark.read.option("basePath", self.path).parquet(self.path)
+            seen = self.spark.read.option("basePath", f"{self.path}/ids").parquet(f"{self.path}/ids")
         except Exception as e:  # noqa: BLE001 - an empty store has no schema
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -262,13 +296,15 @@ class QuotientStore:
         return seen.where(F.col("batch") != batch_id)
 
     def insert(self, batch: DataFrame, batch_id: int, key: str = "_dedup_key", stage: str = "_stage", time: str = "_processed_at", row: str = "_row_id") -> DataFrame:
-        own = messages(batch, key, stage, time, row).withColumn("shard", F.expr(f"cast(conv(substr(_dedup_key, 1, {SHARD_BITS // 4}), 16, 10) as int)"))
+        own = messages(batch, key, stage, time, row).select(F.unhex("_dedup_key").alias("id"), "_dedup_key", "_stage", "_processed_at", "_row_id").mapInArrow(_stored, _STORED)
         seen = self._history(batch_id)
         if seen is not None:
-            touched = [r[0] for r in own.select("shard").distinct().collect()]  # at most 2 ** SHARD_BITS numbers
-            old = seen.where(F.col("shard").isin(touched)).select(F.col("_dedup_key").alias("k"), F.col("_stage").alias("s"))
-            own = own.join(old, (F.col("_dedup_key") == F.col("k")) & F.col("_stage").eqNullSafe(F.col("s")), "left_anti")
-        target = f"{self.path}/batch={batch_id}"
-        own.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(target)
-        kept = self.spark.read.parquet(target)
+            own = materialise(own, "delivered")
+            touched = [r[0] for r in own.select("part").distinct().collect()]  # at most 2 ** PART_BITS numbers
+            old = seen.where(F.col("part").isin(touched)).select(F.col("part").alias("p"), F.col("quotient").alias("q"), F.col("remainder").alias("r"), F.col("_stage").alias("s"))
+            own = own.join(old, (F.col("part") == F.col("p")) & (F.col("quotient") == F.col("q")) & (F.col("remainder") == F.col("r")) & F.col("_stage").eqNullSafe(F.col("s")), "left_anti")
+        target = f"{self.path}/rows/batch={batch_id}"
+        own.write.mode("overwrite").parquet(target)
+        kept = self.spark.read.schema(_STORED).parquet(target)
+        kept.select("part", "quotient", "remainder", "_stage").repartition("part").sortWithinPartitions("part", "quotient").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/ids/batch={batch_id}")
         return kept.select("_dedup_key", "_stage", "_processed_at", "_row_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import exactly_once, orphans, profile, row_parse, schema_drift, spikes
-from millrace.session import table
+from millrace.session import materialise, table
 
 
 def _dead(spark: SparkSession, d: str, target: str) -> DataFrame:
@@ -88,20 +88,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return changed.select(F.col("load").alias("_batch_id"), F.split_part("col", F.lit("#"), F.lit(1)).alias("column_name")).distinct()
 
 
+def _p4(spark: SparkSession, d: str):
+    fields = schema_drift.fields_of(table(spark, d, "schema_contract"))
+    return fields, schema_drift.catalogue(fields)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    spans = schema_drift.lifespans(table(spark, d, "schema_contract"))
-    return schema_drift.changes(spans).select("source_id", "schema_version", "field_name", "change_type").distinct()
+    return schema_drift.changes(_p4(spark, d)[1]).select("source_id", "schema_version", "field_name", "change_type").distinct()
 
 
 def p4_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change with old name and both types."""
-    return schema_drift.changes(schema_drift.lifespans(table(spark, d, "schema_contract")))
+    return schema_drift.changes(_p4(spark, d)[1])
+
+
+def p4_lifespans(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue: in which versions each field had which type."""
+    return _p4(spark, d)[1].select("source_id", "name", "type", "first_version", "first_pos", "last_pos")
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
-    """All source records in one table."""
-    spans = schema_drift.lifespans(table(spark, d, "schema_contract"))
-    return schema_drift.unify(table(spark, d, "source_records"), table(spark, d, "extraction_checkpoints"), spans, schema_drift.changes(spans))
+    """All source records in one typed table."""
+    fields, lives = _p4(spark, d)
+    names = materialise(schema_drift.field_names(fields, lives, schema_drift.changes(lives)), "names")
+    return schema_drift.typed(schema_drift.unify(table(spark, d, "source_records"), table(spark, d, "extraction_checkpoints"), names), names)
 
 
 _UUID = "regexp_replace(lower(trim({})), '^urn:uuid:|[{{}}()\\s-]', '', 'g')"
@@ -131,7 +141,7 @@ k AS (SELECT *, CASE WHEN o IS NULL THEN 'column_count' WHEN NOT sound THEN 'bro
  AND regexp_full_match(amount, '-?[0-9]+([.][0-9]+)?') AND active IN ('true', 'false') THEN NULL ELSE 'invalid_value' END AS _quarantine_reason FROM v)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_lifespans, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
     "p6_found": _P6 + "SELECT DISTINCT line_id, _quarantine_reason FROM k WHERE _quarantine_reason IS NOT NULL",
     "p6_valid": _P6 + "SELECT line_id, _batch_id, _source_id, CAST(id AS DECIMAL(38,0)) AS id, username, email, try_cast(age AS INTEGER) AS age, CAST(signup_date AS DATE) AS signup_date, CAST(amount AS DECIMAL(38,10)) AS amount, active = 'true' AS active, note FROM k WHERE _quarantine_reason IS NULL",

@@ -245,22 +245,49 @@ def test_changes(spark):
         ("t", "1", None, T0), (None, "1", "{}", T0), ("t", "2", _contract(("x", "jsonb", None, None)), None),
     ]
     df = spark.createDataFrame(v, "source_id string, schema_version string, contract_json string, updated_at timestamp").withColumn("pos", F.lit(1))
-    spans = schema_drift.lifespans(df)
-    got = {tuple(r) for r in schema_drift.changes(spans).select("source_id", "schema_version", "field_name", "change_type").collect()}
+    fields = schema_drift.fields_of(df)
+    lives = schema_drift.catalogue(fields)
+    got = {tuple(r) for r in schema_drift.changes(lives).select("source_id", "schema_version", "field_name", "change_type").collect()}
     assert got == {("s", "1.10.0", "bb", "renamed"), ("s", "1.10.0", "C", "renamed"), ("s", "1.10.0", "e", "renamed"), ("s", "2.0.0", "a", "type_changed"), ("s", "2.0.0", "bb", "type_changed"), ("s", "2.0.0", "C", "removed"), ("s", "2.0.0", "f", "added"), ("t", "2", "x", "added")}
-    assert schema_drift.changes(schema_drift.lifespans(df.limit(0))).count() == 0
-    names = {r["schema_version"]: r["names"] for r in schema_drift.field_names(spans, schema_drift.changes(spans)).where("source_id = 's'").collect()}
+    assert schema_drift.changes(schema_drift.catalogue(schema_drift.fields_of(df.limit(0)))).count() == 0
+    spans = {(r["name"], r["type"]): (r["first_pos"], r["last_pos"]) for r in lives.where("source_id = 's'").collect()}
+    assert spans[("a", "integer")] == (1, 3) and spans[("a", "float")] == (4, 4) and spans[("b", "string")] == (1, 2) and spans[("bb", "array")] == (4, 4)
+    names = {r["schema_version"]: r["names"] for r in schema_drift.field_names(fields, lives, schema_drift.changes(lives)).where("source_id = 's'").collect()}
     assert names["1.2.0"]["b"]["field"] == "bb" and names["1.2.0"]["b"]["type"] == "array" and names["1.2.0"]["d"]["field"] == "e" and names["1.9.0"]["c"]["field"] == "C"
 
 
 def test_chain_of_renames_and_records(spark):
     v = [("s", f"1.{i}.0", _contract((n, t, "same", None)), T0) for i, (n, t) in enumerate([("a", "text"), ("b", "text"), ("c", "text"), ("d", "integer")])]
-    spans = schema_drift.lifespans(spark.createDataFrame(v, "source_id string, schema_version string, contract_json string, updated_at timestamp"))
-    ch = schema_drift.changes(spans)
+    fields = schema_drift.fields_of(spark.createDataFrame(v, "source_id string, schema_version string, contract_json string, updated_at timestamp"))
+    lives = schema_drift.catalogue(fields)
+    names = schema_drift.field_names(fields, lives, schema_drift.changes(lives))
     rec = spark.createDataFrame([(1, "x", "s", "f0", 1, T0, '{"a": "7.0", "zz": null}'), (2, "x", "s", "f0", 2, T0, '{"a": "no"}'), (2, "x", "s", "f0", 2, T0, '{"a": "no"}'), (3, "x", "s", "f3", 1, T0, '{"d": 5}'), (4, "x", "s", "gone", 1, T0, "not json"), (5, "x", "s", "f0", 1, T0, None)], "record_id bigint, extraction_id string, source_id string, _file_name string, _row_number bigint, _extracted_at timestamp, payload string")
     cp = spark.createDataFrame([("s", json.dumps({"file_name": "f0", "schema_version": "1.0.0"}), T0), ("s", json.dumps({"file_name": "f3", "schema_version": "1.3.0"}), T0), ("s", "{}", T0), ("s", None, T0)], "source_id string, metadata string, updated_at timestamp")
-    got = {r["record_id"]: r for r in schema_drift.unify(rec, cp, spans, ch).collect()}
+    got = {r["record_id"]: r for r in schema_drift.unify(rec, cp, names).collect()}
     assert len(got) == 5 and got[1]["data"] == {"d": "7", "zz": None} and got[2]["data"] == {"d": "no"} and got[2]["uncast"] == ["d"] and got[3]["data"] == {"d": "5"} and got[4]["data"] == {} and got[5]["data"] == {} and got[4]["schema_version"] is None
+    table = schema_drift.typed(schema_drift.unify(rec, cp, names), names)
+    assert table.schema["d"].dataType.typeName() == "long"
+    got = {r["record_id"]: r for r in table.collect()}
+    assert got[1]["d"] == 7 and got[1]["data"] == {"zz": None} and got[2]["d"] is None and got[2]["uncast"] == ["d"] and got[3]["d"] == 5 and got[5]["d"] is None
+
+
+def test_two_fields_with_one_description():
+    def side(*fields):
+        return [{"name": n, "type": "string", "text": "Address", "metadata": m} for n, m in fields]
+
+    starts, ends = side(("line_a", '{"was": "addr_1"}'), ("line_b", "{}")), side(("addr_1", None), ("addr_2", None))
+    assert schema_drift.match_renames(starts, ends) == [(0, 0), (1, 1)]
+    swapped = [starts[0] | {"metadata": '{"was": "addr_2"}'}, starts[1]]
+    assert schema_drift.match_renames(swapped, ends) == [(0, 1), (1, 0)]
+    partly = [starts[0] | {"metadata": None}, starts[1] | {"metadata": None, "name": "line_b"}]
+    assert len(schema_drift.match_renames(partly, [ends[0], ends[1] | {"text": "Other"}])) == 1 and schema_drift.match_renames([], ends) == []
+
+
+def test_names_of_typed_columns(spark):
+    names = spark.createDataFrame([("s", "1", {"a": ("Data", "integer"), "b": ("source_id", "string")}), ("t", "1", {"a": ("Data", "date")})], "source_id string, schema_version string, names map<string,struct<field:string,type:string>>")
+    rows = spark.createDataFrame([(1, "x", "s", "1", T0, {"Data": "5", "source_id": "q", "new": "n"}, [])], "record_id bigint, extraction_id string, source_id string, schema_version string, _extracted_at timestamp, data map<string,string>, uncast array<string>")
+    got = schema_drift.typed(rows, names).first().asDict()
+    assert got["Data_field"] == "5" and got["source_id_field"] == "q" and got["source_id"] == "s" and got["data"] == {"new": "n"}
 
 
 def test_type_names(spark):
