@@ -34,9 +34,12 @@ WORDS = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
 LAG, LONG_LAGS, LEAST_TERMS = 24, 8, 8
 _TERM = re.compile(r"[^\W\d_](?:[\w'’]*[^\W_])?")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*")  # one start per run: linear in very long texts
-_SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+_SENTENCE = re.compile(r"([.!?])\s+")
+_LINE = re.compile(r"[\r\n]+")
 #: Log lines, traces, lines of serialised objects; statements of a query language and the clauses that go on with one.
 _MACHINE = re.compile(r"""^\s*(?:\d{4}-\d\d-\d\d[ t]\d\d:\d\d|[{}\[\]]+[,;]?\s*$|[{\[].*":|"[^"]*"\s*:|traceback\b|at [\w.$]+\(|```)""")
+#: Signs that a text may hold any of these.
+_HINT = re.compile(r"\d{4}-\d\d-\d\d[ Tt]\d|[{}\[\]`\"]|^\s*(?:traceback|at |select|with|insert|update|delete|create|alter)\b", re.I | re.M)
 _SELECT = re.compile(r"^\s*select\b")
 _FROM = re.compile(r"\bfrom\s+[\w.\"`]+")
 _STATEMENT = re.compile(r"^\s*(?:with\s+\w+\s+as\s*\(|insert\s+into\s|update\s+\S+\s+set\b|delete\s+from\s|create\s+(?:or\s+replace\s+)?(?:table|view|index)\b|alter\s+table\b)")
@@ -63,10 +66,19 @@ def recurrence(terms: list[str], lag: int = LAG) -> tuple[float, float]:
     chance = float((share**2).sum())
     if chance >= 1:
         return near, 1.0
-    lags = set(range(1, min(lag, n // 8) + 1))  # eight times in step at least
-    far = np.bincount(gaps[(gaps > lag) & (gaps <= n // 8)]) if len(gaps) else gaps
-    lags.update(int(k) for k in np.argsort(-far, kind="stable")[:LONG_LAGS] if far[k])
+    far = np.bincount(gaps[(gaps > lag) & (gaps <= n // 8)], minlength=1)  # eight times in step at least
+    lags = [int(k) for k in np.argsort(-far, kind="stable")[:LONG_LAGS] if far[k] >= 0.05 * n]
     best = max((float((x[k:] == x[:-k]).mean()) for k in lags), default=0.0)
+    window = min(lag, n // 8)
+    pairs = np.zeros(window + 1, np.int64)  # equal terms at each distance of the window
+    for j in range(1, window + 1):
+        apart = (order[j:] - order[:-j])[x[order[j:]] == x[order[:-j]]]
+        apart = apart[apart <= window]
+        if not len(apart):
+            break
+        pairs += np.bincount(apart, minlength=window + 1)
+    if window:
+        best = max(best, float((pairs[1:] / (n - np.arange(1, window + 1))).max()))
     return near, max(0.0, (best - chance) / (1 - chance))
 
 
@@ -87,37 +99,33 @@ def features(text: str | None) -> dict[str, float]:
     out = {"terms": 0.0, "near": 0.0, "auto": 0.0, "unique": 1.0, "listed": 0.0, "prose": 0.0, "function": 0.0}
     if not text:
         return out
-    low = text.lower()
-    words = _TERM.findall(low)
+    segments = _LINE.split(_SENTENCE.sub(r"\1\n", text.lower()))
+    terms = [_TERM.findall(x) for x in segments]
+    words = [w for t in terms for w in t]
     if not words:
         return out
+    known = [sum(map(WORDS.__contains__, t)) for t in terms]
     out["terms"] = float(len(words))
-    known = [w in WORDS for w in words]
     out["function"] = sum(known) / len(words)
     out["unique"] = len(set(words)) / len(words)
-    out["near"], out["auto"] = recurrence([_DIGITS.sub("0", w) for w, k in zip(words, known) if not k])
-    segments = _SEGMENT.split(low)
-    machine = machine_lines(segments)
-    terms = [_TERM.findall(x) for x in segments]
-    short = [not m and len(t) <= 6 and bool(_ITEM.match(x)) and not any(map(WORDS.__contains__, t)) for x, t, m in zip(segments, terms, machine)]
+    out["near"], out["auto"] = recurrence([w if w.isalpha() else _DIGITS.sub("0", w) for w in words if w not in WORDS])
+    machine = machine_lines(segments) if _HINT.search(text) else [False] * len(segments)
+    short = [not m and not fw and len(t) <= 6 and bool(_ITEM.match(x)) for x, t, m, fw in zip(segments, terms, machine, known)]
     items = sum(short) >= 10  # many short lines without function words are a list, a few are headings or fields
     listed = prose = total = 0
-    for seg, item, tokens, skip in zip(segments, short, terms, machine):
+    for seg, item, tokens, skip, fw in zip(segments, short, terms, machine, known):
         size = len(seg.strip())
-        if not size:
-            continue
         total += size
-        if skip:
+        if skip or not size:
             continue
         n = len(tokens)
-        fw = sum(map(WORDS.__contains__, tokens))
-        cuts = len(_SEPARATOR.findall(seg))
-        links = sum(map(len, _LINK.findall(seg)))
-        short_fields = cuts >= 3 and n <= 3.5 * (cuts + 1) and fw <= 0.2 * n
-        ends = bool(_END.search(seg))
-        dense = cuts >= 2 and n <= 3.5 * (cuts + 1) if ends else cuts >= 1 and n <= 6 * (cuts + 1)
-        loose = n > 12 and sum(len(t) <= 3 for t in tokens) < 0.12 * n and not ends
-        if links > 0.3 * size or short_fields or (items and item) or not n or (fw <= 0.08 * n and (dense or loose)):
+        is_list = "/" in seg and sum(map(len, _LINK.findall(seg))) > 0.3 * size or (items and item) or not n
+        if not is_list and fw <= 0.2 * n:
+            cuts, ends = len(_SEPARATOR.findall(seg)), bool(_END.search(seg))
+            dense = cuts >= 2 and n <= 3.5 * (cuts + 1) if ends else cuts >= 1 and n <= 6 * (cuts + 1)
+            loose = n > 12 and not ends and sum(len(t) <= 3 for t in tokens) < 0.12 * n
+            is_list = cuts >= 3 and n <= 3.5 * (cuts + 1) or (fw <= 0.08 * n and (dense or loose))
+        if is_list:
             listed += size
         elif fw >= 0.1 * n or n > 4:
             prose += size
