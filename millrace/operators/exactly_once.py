@@ -176,6 +176,7 @@ def _flush(tables: dict, restore: bool) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(slots), 50_000):
             part = slots[lo : lo + 50_000]
             ids = t.ids(part, shard or 0)
+            ids = ids[:, ::-1] if restore else ids
             shards = (ids[:, 0] >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
             ts = pa.array(t.ts[part], pa.int64(), mask=t.ts[part] == _LAST)
             yield pa.RecordBatch.from_arrays([pa.array(shards), _binary(unpermute(ids) if restore else ids), pa.array([stage] * len(part), pa.string()), pa.array(t.n[part]), ts, pa.array(t.row[part], pa.string())], _NAMES)
@@ -209,7 +210,10 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: rows come sorted by shard; one table per stage covers the shards of a stretch, as shards differ in the quotient."""
+    """Reduce side: rows come sorted by shard; one table per stage covers the shards of a stretch.
+
+    Its home slots come from the last word: the first one names the shard, so in their order it would fill one end.
+    """
     tables: dict = {}
     last = -1
     for batch in batches:
@@ -226,7 +230,7 @@ def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(lo, hi)
             for c in np.unique(codes[part]):
                 at = np.flatnonzero(codes[part] == c) + lo
-                tables.setdefault((None, names[c]), QuotientTable()).insert(ids[at], n[at], ts[at], row[at])
+                tables.setdefault((None, names[c]), QuotientTable()).insert(ids[at, ::-1], n[at], ts[at], row[at])
             last = shard[hi - 1]
     yield from _flush(tables, True)
 

@@ -2,12 +2,14 @@
 
 States are normal, spike, stuck and out-of-range. What a normal reading looks like is taken from the series itself:
 a running median (which follows daily cycles, drift and lasting changes of level) and the robust spread around it,
-both re-estimated without the readings that a first pass finds odd. Forward-backward gives the probability of each
-state at each reading; hard bounds (possible values of the metric, length of a stuck run) decide the rest.
+both re-estimated without the readings that a first pass finds odd. Hard bounds (possible values of the metric, length
+of a run and share of repeats of the series) enter the emissions of the states out-of-range and stuck; forward-backward
+gives the probability of each state at each reading, which assigns the flags.
 
 Series are cut into blocks of time with a margin on both sides where one is very long, so that a series holding a
-third of all rows is spread over tasks, and a task reads its sorted rows as a stream in bounded pieces. Which readings
-are stuck is decided before, on runs and repeats of the whole series: the runs at the ends of blocks are joined.
+third of all rows is spread over tasks, and a task reads its sorted rows as a stream in bounded pieces. What describes a
+series is taken over the whole of it all the same: runs and repeats before (the runs at the ends of blocks are joined),
+the spread of its normal readings in a pass of its own over the blocks.
 """
 
 from __future__ import annotations
@@ -89,34 +91,52 @@ def _runs(v: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(edge), np.diff(edge))
 
 
-def _emissions(v: np.ndarray, bad: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _emissions(v: np.ndarray, bad: np.ndarray, odd: np.ndarray, stuck: np.ndarray, fixed: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, float]:
     good = np.where(bad | odd, np.nan, v)
     base = running_median(good)
     kept = good[np.isfinite(good)]
     resid = np.where(bad, 0.0, v - base)
-    spread = _spread(resid[np.isfinite(good)], np.abs(np.diff(kept)), float(np.median(kept)) if len(kept) else 0.0)
     same = np.r_[False, v[1:] == v[:-1]] & ~bad
-    rate = min(0.95, max(0.02, float(same.mean()) if len(same) else 0.0))
+    if fixed:
+        spread, rate = fixed
+    else:
+        spread = _spread(resid[np.isfinite(good)], np.abs(np.diff(kept)), float(np.median(kept)) if len(kept) else 0.0)
+        rate = float(same.mean()) if len(same) else 0.0
+    rate = min(0.95, max(0.02, rate))
     z = resid / spread
     repeat = np.where(same, np.log(rate), np.log(1 - rate))
     emit = np.full((len(v), 4), _NEVER)
     emit[:, NORMAL] = -0.5 * np.minimum(z * z, 240.0) - 0.919 + repeat
     emit[:, SPIKE] = _FLAT + repeat
-    emit[:, STUCK] = np.where(same, -1.4 + np.log(0.999), emit[:, NORMAL] - 6.0)
+    emit[stuck] = [2 * _NEVER, 2 * _NEVER, 0.0, 2 * _NEVER]
     emit[bad] = [2 * _NEVER, 2 * _NEVER, 2 * _NEVER, 0.0]
     return emit, base, spread
 
 
-def judge(series: list[tuple[str, np.ndarray]], stuck: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+def stuck_readings(v: np.ndarray) -> np.ndarray:
+    """Readings of a whole series in runs of ``STUCK_RUN`` or more where fewer than half of the other readings repeat."""
+    runs = _runs(v)
+    same = np.r_[False, v[1:] == v[:-1]]
+    out = np.zeros(len(v), bool)
+    for length in np.unique(runs[runs >= STUCK_RUN]):
+        others = len(v) - length
+        if others > 0 and (same.sum() - (length - 1)) / others < 0.5:
+            out |= runs == length
+    return out
+
+
+def judge(series: list[tuple[str, np.ndarray]], stuck: list[np.ndarray] | None = None, fixed: list[tuple[float, float] | None] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """(state, probability that it is odd, baseline, spread) for each series of (metric, values in time order, no nulls).
 
-    ``stuck`` tells which readings are stuck where the values are only a part of their series.
+    ``stuck`` tells which readings are stuck, ``fixed`` the spread and the share of repeats, where the values are only a
+    part of their series.
     """
     bads = []
     for metric, v in series:
         lo, hi = BOUNDS.get((metric or "").strip().lower(), (-np.inf, np.inf))
         with np.errstate(invalid="ignore"):
             bads.append(~np.isfinite(v) | (v < lo) | (v > hi))
+    held = [s & ~b for s, b in zip(stuck or [stuck_readings(v) for _, v in series], bads)]
     odds = [np.zeros(len(v), bool) for _, v in series]
     longest = max((len(v) for _, v in series), default=0)
     valid = np.zeros((len(series), longest), bool)
@@ -124,7 +144,7 @@ def judge(series: list[tuple[str, np.ndarray]], stuck: list[np.ndarray] | None =
         emit = np.zeros((len(series), longest, 4))
         fits = []
         for k, (_, v) in enumerate(series):
-            e, base, spread = _emissions(v, bads[k], odds[k])
+            e, base, spread = _emissions(v, bads[k], odds[k], held[k], fixed[k] if fixed else None)
             emit[k, : len(v)], valid[k, : len(v)] = e, True
             fits.append((base, spread))
         post = forward_backward(emit, valid) if longest else emit
@@ -133,17 +153,8 @@ def judge(series: list[tuple[str, np.ndarray]], stuck: list[np.ndarray] | None =
     for k, (_, v) in enumerate(series):
         p = post[k, : len(v)]
         far = np.abs(np.where(bads[k], 0.0, v - fits[k][0])) > THRESHOLD * fits[k][1]
-        state = np.where((p[:, SPIKE] > 0.5) | (far & (p[:, NORMAL] < 0.5)), SPIKE, NORMAL)
-        if stuck is not None:
-            state[stuck[k] & ~bads[k]] = STUCK
-        else:
-            runs = _runs(v)
-            same = np.r_[False, v[1:] == v[:-1]]
-            for length in np.unique(runs[runs >= STUCK_RUN]):
-                others = len(v) - length
-                if others > 0 and (same.sum() - (length - 1)) / others < 0.5:
-                    state[(runs == length) & ~bads[k]] = STUCK
-        state[bads[k]] = RANGE
+        likely = p.argmax(axis=1)
+        state = np.where((likely == STUCK) | (likely == RANGE), likely, np.where((p[:, SPIKE] > 0.5) | (far & (p[:, NORMAL] < 0.5)), SPIKE, NORMAL))
         out.append((state, 1 - p[:, NORMAL], *fits[k]))
     return out
 
@@ -185,25 +196,61 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
         yield cut(True)
 
 
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[pd.DataFrame, np.ndarray]]]:
+    """Pieces in batches that forward-backward takes together."""
+    batch: list = []
+    for piece in _pieces(frames):
+        batch.append(piece)
+        if len(batch) >= 64 or sum(len(g) for g, _ in batch) >= PIECE_READINGS:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
+def _judged(batch: list[tuple[pd.DataFrame, np.ndarray]]):
+    def fixed(g: pd.DataFrame) -> tuple[float, float] | None:
+        spread, rate = g["fit_spread"].iloc[0], g["fit_rate"].iloc[0]
+        return None if np.isnan(spread) else (float(spread), float(rate))
+
+    return judge([(g["_metric"].iloc[0], g["_value"].to_numpy(dtype=np.float64)) for g, _ in batch], [g["stuck"].to_numpy(dtype=bool) for g, _ in batch], [fixed(g) for g, _ in batch])
+
+
 def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def report(batch: list[tuple[pd.DataFrame, np.ndarray]]) -> pd.DataFrame:
-        results = judge([(g["_metric"].iloc[0], g["_value"].to_numpy(dtype=np.float64)) for g, _ in batch], [g["stuck"].to_numpy(dtype=bool) for g, _ in batch])
+    for batch in _batches(frames):
         rows = []
-        for (g, mask), (state, prob, base, spread) in zip(batch, results):
+        for (g, mask), (state, prob, base, spread) in zip(batch, _judged(batch)):
             o = g.loc[mask, ["_anomaly_id", "_source_id", "_metric", "_detected_at", "_value"]].copy()
             o["_baseline"], o["_stddev"], o["probability"] = base[mask], spread, prob[mask]
             o["state"] = np.array(STATES, object)[state[mask]]
             rows.append(o)
-        return pd.concat(rows, ignore_index=True)
+        yield pd.concat(rows, ignore_index=True)
 
-    batch: list = []
-    for piece in _pieces(frames):
-        batch.append(piece)
-        if len(batch) >= 64 or sum(len(g) for g, _ in batch) >= PIECE_READINGS:
-            yield report(batch)
-            batch = []
-    if batch:
-        yield report(batch)
+
+_FIT = "series string, resid double, step double, level double"
+
+
+def _residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distance of each normal reading to the baseline and to the normal reading before it."""
+    for batch in _batches(frames):
+        rows = []
+        for (g, mask), (state, _, base, _) in zip(batch, _judged(batch)):
+            v = g["_value"].to_numpy(dtype=np.float64)
+            good = np.flatnonzero((state == NORMAL) | (state == STUCK))
+            step = np.abs(np.diff(v[good], prepend=np.nan))
+            keep = mask[good]
+            rows.append(pd.DataFrame({"series": g["series"].iloc[0], "resid": np.abs(v[good] - base[good])[keep], "step": step[keep], "level": v[good][keep]}))
+        yield pd.concat(rows, ignore_index=True)
+
+
+def _series_spread(ready: DataFrame) -> DataFrame:
+    """``series, fit_spread`` over whole series that are cut into blocks."""
+    fits = ready.mapInPandas(_residuals, _FIT)
+    step = F.when(~F.isnan("step"), F.col("step"))
+    moved = F.when(step > 0, step)
+    per = fits.groupBy("series").agg(*[F.percentile_approx(c, p, 10_000).alias(n) for n, c, p in (("mid", F.col("resid"), 0.5), ("high", F.col("resid"), 0.9), ("grid", moved, 0.5), ("level", F.col("level"), 0.5))], F.count(moved).alias("n_moved"), F.count(step).alias("n_steps"))
+    coarse = F.when(F.col("n_moved") < 0.5 * F.greatest(F.lit(1), F.col("n_steps")), 0.75 * F.col("grid"))
+    return per.select("series", F.greatest(1.4826 * F.col("mid"), F.col("high") / 1.645, F.coalesce(coarse, F.lit(0.0)), 1e-7 * F.abs("level"), F.lit(1e-12)).alias("fit_spread"))
 
 
 def _starts(value: str, before: Column) -> Column:
@@ -212,7 +259,7 @@ def _starts(value: str, before: Column) -> Column:
 
 
 def mark_stuck(placed: DataFrame) -> DataFrame:
-    """Adds ``stuck`` to rows with ``series`` and ``block``: in a run of ``STUCK_RUN`` or more, in a series where fewer than half of the other readings repeat."""
+    """Adds ``stuck`` and ``fit_rate``, the share of repeats, to rows with ``series`` and ``block``: stuck is what lies in a run of ``STUCK_RUN`` or more, in a series where fewer than half of the other readings repeat."""
     block = Window.partitionBy("series", "block")
     order = block.orderBy("_detected_at", "_anomaly_id")
     runs = placed.withColumn("run", F.sum(_starts("_value", F.lag("_value").over(order)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -231,7 +278,7 @@ def mark_stuck(placed: DataFrame) -> DataFrame:
     length = F.when(F.col("run") == 1, F.col("first")).when(F.col("run") == F.col("n_runs"), F.col("last")).otherwise(F.col("length"))
     others = F.col("all") - length
     stuck = (length >= STUCK_RUN) & (others > 0) & (2 * (F.col("all") - F.col("all_runs") - (length - 1)) < others)
-    return runs.join(blocks, ["series", "block"]).withColumn("stuck", stuck).select(*placed.columns, "stuck")
+    return runs.join(blocks, ["series", "block"]).withColumn("stuck", stuck).withColumn("fit_rate", 1 - F.col("all_runs") / F.col("all")).select(*placed.columns, "stuck", "fit_rate")
 
 
 def flag_readings(readings: DataFrame) -> DataFrame:
@@ -245,11 +292,11 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     at = F.unix_micros("_detected_at")
     series = F.concat_ws("\u0001", F.coalesce("_source_id", F.lit("\u0002")), F.coalesce("_metric", F.lit("\u0002")))
     rows = rows.withColumn("series", series).withColumn("at", F.coalesce(at, F.lit(0)))
-    long = rows.groupBy("series").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).where(F.col("n") > BLOCK_READINGS)
+    long = materialise(rows.groupBy("series").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).where(F.col("n") > BLOCK_READINGS), "long")
     blocks = F.ceil(F.col("n") / (BLOCK_READINGS / 2))
-    long = long.select("series", "lo", F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) / blocks).cast("bigint") + 1).alias("width"))
+    wide = long.select("series", "lo", F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) / blocks).cast("bigint") + 1).alias("width"))
     offset = (F.col("at") - F.col("lo")) / F.col("width")
-    placed = rows.join(long, "series", "left").withColumn("block", F.coalesce(F.floor(offset), F.lit(0)))
+    placed = rows.join(wide, "series", "left").withColumn("block", F.coalesce(F.floor(offset), F.lit(0)))
     placed = mark_stuck(placed)
     block = F.col("block")
     part = offset - block
@@ -258,5 +305,13 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     ahead = F.when(part >= 1 - edge, F.struct((block + 1).alias("block"), F.lit(True).alias("margin")))
     behind = F.when(part < edge, F.struct((block - 1).alias("block"), F.lit(True).alias("margin")))
     spread = placed.withColumn("to", F.explode(F.array_compact(F.array(own, ahead, behind)))).withColumn("group", F.concat_ws("\u0001", "series", F.col("to.block").cast("string")))
-    ready = spread.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "stuck", "group", F.col("to.margin").alias("margin"))
-    return ready.repartition("group").sortWithinPartitions("group", "_detected_at", "_anomaly_id").mapInPandas(_run, _OUT)
+
+    def sorted_blocks(df: DataFrame) -> DataFrame:
+        ready = df.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "stuck", "fit_rate", "fit_spread", "series", "group", F.col("to.margin").alias("margin"))
+        return ready.repartition("group").sortWithinPartitions("group", "_detected_at", "_anomaly_id")
+
+    unknown = spread.withColumn("fit_spread", F.lit(None).cast("double"))
+    if long.isEmpty():  # the spread of a series in one block is taken there
+        return sorted_blocks(unknown).mapInPandas(_run, _OUT)
+    fits = materialise(_series_spread(sorted_blocks(unknown.join(long.select("series"), "series", "left_semi"))), "fits")
+    return sorted_blocks(spread.join(fits, "series", "left")).mapInPandas(_run, _OUT)

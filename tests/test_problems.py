@@ -28,6 +28,26 @@ def test_permutation_is_invertible():
     assert (exactly_once.unpermute(p) == w).all() and len(np.unique(p[:, 0])) > 990
 
 
+def test_shards_are_handed_on_one_stretch_at_a_time(monkeypatch):
+    monkeypatch.setattr(exactly_once, "FLUSH_ENTRIES", 100)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, (700, 4), dtype=np.uint64)
+    words = np.concatenate([words, words[:300]])
+    ids = exactly_once.permute(words)
+    shard = (ids[:, 0] >> np.uint64(64 - exactly_once.SHARD_BITS)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+
+    def batch(at):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(shard[at]), exactly_once._binary(ids[at]), pa.array(["s"] * len(at)), pa.array(np.ones(len(at), np.int64)), pa.array(np.arange(len(at))), pa.array([str(i) for i in at])], exactly_once._NAMES)
+
+    out = list(exactly_once._insert(batch(at) for at in np.array_split(order, 40)))
+    assert len(out) >= 5 and max(b.num_rows for b in out) < 200
+    got = {bytes(i): n for b in out for i, n in zip(b["id"].to_pylist(), b["n"].to_pylist())}
+    assert got == {w.astype(">u8").tobytes(): 1 + (k < 300) for k, w in enumerate(words[:700])}
+
+
 def test_quotient_table_restores_and_never_mixes_up():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
