@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 GRANULARITIES = ("hour", "day", "week", "month", "quarter", "year")
 
 # Time formats that are understood, in the order they are tried.
-TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM"]
+TIME_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM"]
 
 
 def bucket(c: Column, granularity: str, week_start: str = "sunday", year_as_date: bool = False) -> Column:

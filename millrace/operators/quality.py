@@ -78,17 +78,18 @@ def batch_metrics(df: DataFrame, by: list[str], fields: list[str], valid: Column
     return out.withColumn("quality", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
 
 
-def deviation(metrics: DataFrame, by: list[str], order: list[str], value: str, window: int = 20, least: int = 5, limit: float = 3.0, include_current: bool = False) -> DataFrame:
+def deviation(metrics: DataFrame, by: list[str], order: list[str], value: str, window: int = 20, least: int = 5, limit: float = 3.0, include_current: bool = False, floor: float = 1e-9) -> DataFrame:
     """Adds ``n_seen, baseline, spread, zscore, is_anomaly`` from the last ``window`` values of a series.
 
     ``include_current=True`` counts the value itself among them, as the reference pipeline does, which keeps the score
-    under the square root of one less than their number; by default only the history counts.
+    under the square root of one less than their number; by default only the history counts. A spread of ``floor`` or less
+    is the noise of adding up equal values and gives no score.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     frame = w.rowsBetween(-(window - 1), 0) if include_current else w.rowsBetween(-window, -1)
     v = F.col(value)
     out = metrics.withColumns({"n_seen": F.count(v).over(frame), "baseline": F.avg(v).over(frame), "spread": F.stddev_pop(v).over(frame)})
-    z = F.when((F.col("n_seen") >= least) & (F.col("spread") > 0), (v - F.col("baseline")) / F.col("spread"))
+    z = F.when((F.col("n_seen") >= least) & (F.col("spread") > floor), (v - F.col("baseline")) / F.col("spread"))
     out = out.withColumn("zscore", z)
     return out.withColumn("is_anomaly", F.coalesce(F.abs("zscore") >= limit, F.lit(False)))
 

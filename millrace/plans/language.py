@@ -9,10 +9,13 @@ from dataclasses import dataclass
 from millrace.plans.ir import QueryIR
 from millrace.plans.planner import TableInfo, is_predictive, match_column, mentions, singular, words_of
 
-# Fillers, small talk, and synonyms of business terms.
-FILLERS = "um uh erm hmm like please kindly basically actually literally okay ok so well just".split()
-SMALL_TALK = "hello hi hey thanks thank bye good morning evening how are you who".split()
-QUESTION_WORDS = "what which show list how many count top highest lowest average total sum compare give display forecast predict trend between per by".split()
+#: Fillers, small talk and words of questions.
+FILLERS = ("um", "uh", "erm", "hmm", "like", "please", "kindly", "basically", "actually", "literally", "okay", "ok", "so", "well", "just")
+SMALL_TALK = ("hello", "hi", "hey", "thanks", "thank", "bye", "good", "morning", "evening", "how", "are", "you", "who")
+QUESTION_WORDS = ("what", "which", "show", "list", "how", "many", "count", "top", "highest", "lowest", "average", "total", "sum", "compare", "give", "display", "forecast", "predict", "trend", "between", "per", "by")
+# Business terms that stand for a term of the planner.
+BUSINESS_TERMS = {"impact": "relationship", "effect": "relationship", "influence": "relationship", "relation": "relationship"}
+#: Words of users for terms of a schema; taken only where the schema has the term and lacks the word.
 SYNONYMS = {"turnover": "revenue", "income": "revenue", "clients": "customers", "client": "customer", "buyers": "customers", "purchases": "orders", "purchase": "order", "headcount": "population", "earnings": "revenue", "qty": "quantity", "amt": "amount"}
 
 
@@ -94,10 +97,18 @@ def correct_spelling(text: str, tables: list[TableInfo], cutoff: float = 0.84) -
 
 
 def business_terms(text: str, tables: list[TableInfo]) -> str:
-    """Replace synonyms by the terms of the schema where the schema has the term and lacks the synonym."""
+    """Replace business terms, and synonyms by the terms of the schema where the schema has the term and lacks the synonym."""
     known = schema_words(tables)
     stems = known | {singular(k) for k in known}
-    return re.sub(r"[A-Za-z]+", lambda m: SYNONYMS[m[0].lower()] if m[0].lower() in SYNONYMS and m[0].lower() not in stems and (SYNONYMS[m[0].lower()] in stems or singular(SYNONYMS[m[0].lower()]) in stems) else m[0], text)
+
+    def term(m: re.Match) -> str:
+        w = m[0].lower()
+        if w in stems:
+            return m[0]
+        to = SYNONYMS.get(w)
+        return BUSINESS_TERMS.get(w) or (to if to and (to in stems or singular(to) in stems) else m[0])
+
+    return re.sub(r"[A-Za-z]+", term, text)
 
 
 @dataclass(frozen=True)
@@ -123,7 +134,7 @@ def diagnose(question: str, tables: list[TableInfo]) -> Diagnosis:
 
 
 # Shares of the stages in the confidence of an answer.
-CONFIDENCE_WEIGHTS = {"cleaning": 0.10, "classification": 0.15, "schema": 0.25, "intent": 0.25, "plan": 0.25}
+CONFIDENCE_WEIGHTS = {"preprocessing_low": 0.12, "classification": 0.18, "schema": 0.22, "intent_extraction": 0.16, "query_execution": 0.16, "visualization": 0.08, "forecasting": 0.08}
 
 
 def confidence(scores: dict[str, float]) -> float:

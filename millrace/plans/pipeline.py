@@ -13,9 +13,21 @@ from millrace.functions.ids import batch_id, lineage_id, row_hash
 from millrace.operators.contracts import Contract, validate
 from millrace.operators.quality import batch_metrics, score_rows
 from millrace.operators.rules import Rule, apply_rules
+from millrace.session import materialise
 from millrace.sources.writers import quarantine_rows
 
 
+def _key(names: list[str], source: str, offset: int, key_with_batch: bool) -> Column:
+    content = row_hash(*names)
+    return F.sha2(F.concat_ws(":", batch_id(F.lit(source), F.lit(offset)), content), 256) if key_with_batch else F.sha2(F.concat_ws(":", F.lit(source), content), 256)
+
+
+def _with_lineage(keyed: DataFrame, names: list[str], source: str, offset: int, at: Column | None) -> DataFrame:
+    lineage = {"_batch_id": batch_id(F.lit(source), F.lit(offset)), "_source_id": F.lit(source), "_extracted_at": at if at is not None else F.current_timestamp()}
+    out = keyed.withColumns(lineage)
+    return out.withColumn("_row_id", lineage_id(F.col("_source_id"), F.col("_batch_id"), F.col("_dedup_key"), "extract")).select("_row_id", *lineage, "_dedup_key", *[F.col(f"`{c}`") for c in names])
+
+
 def bronze(df: DataFrame, source: str, offset: int = 0, at: Column | None = None, key_with_batch: bool = False) -> DataFrame:
     """Lineage columns and all data as text: ``_row_id, _batch_id, _source_id, _extracted_at, _dedup_key`` and the fields.
 
@@ -24,12 +36,27 @@ def bronze(df: DataFrame, source: str, offset: int = 0, at: Column | None = None
     """
     names = df.columns
     out = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
-    batch = batch_id(F.lit(source), F.lit(offset))
-    content = row_hash(*names)
-    key = F.sha2(F.concat_ws(":", batch, content), 256) if key_with_batch else F.sha2(F.concat_ws(":", F.lit(source), content), 256)
-    lineage = {"_batch_id": batch, "_source_id": F.lit(source), "_extracted_at": at if at is not None else F.current_timestamp(), "_dedup_key": key}
-    out = out.withColumns(lineage)
-    return out.withColumn("_row_id", lineage_id(F.col("_source_id"), F.col("_batch_id"), F.col("_dedup_key"), "extract")).select("_row_id", *lineage, *names)
+    return _with_lineage(out.withColumn("_dedup_key", _key(names, source, offset, key_with_batch)), names, source, offset, at)
+
+
+def bronze_fresh(df: DataFrame, source: str, offset: int = 0, at: Column | None = None, target: DataFrame | None = None) -> DataFrame:
+    """:func:`bronze` of the rows whose key ``target`` lacks: the keys are made and compared first, the rest only for what is new."""
+    names = df.columns
+    keyed = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).withColumn("_dedup_key", _key(names, source, offset, False))
+    if target is not None:
+        keyed = keyed.join(target.select("_dedup_key"), "_dedup_key", "left_anti").select(*names, "_dedup_key")
+    return _with_lineage(keyed, names, source, offset, at)
+
+
+def bronze_again(table: DataFrame, source: str | None = None, batch: str | None = None) -> DataFrame:
+    """Bronze rows read again as messages for another run: ``key, value``, the value a JSON object as the extractor sends it."""
+    rows = table
+    for c, v in (("_source_id", source), ("_batch_id", batch)):
+        if v is not None:
+            rows = rows.where(F.col(c) == v)
+    data = F.struct(*[F.col(f"`{c}`") for c in data_columns(table)])
+    body = F.struct(F.col("_source_id").alias("source_id"), F.col("_batch_id").alias("batch_id"), F.col("_dedup_key").alias("_dedup_key"), F.col("_row_id").alias("row_id"), data.alias("data"))
+    return rows.select(F.col("_row_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def clean_text(c: Column) -> Column:
@@ -70,12 +97,13 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def transform(raw: DataFrame, contract: Contract | None, rules: list[Rule] = (), missing: str = "warn", version: str = "1.0.0", at: Column | None = None) -> Outcome:
+def transform(raw: DataFrame, contract: Contract | None, rules: list[Rule] = (), missing: str = "warn", version: str = "1.0.0", at: Column | None = None, store: bool = True) -> Outcome:
     """Clean, type, validate and score bronze rows; each row goes to silver or, with a reason, to quarantine.
 
     Reasons, the first that holds: ``empty_row``, ``missing_schema_contract``, ``validation_failed``,
     ``transformation_errors``. A value that does not fit its type counts as violation and keeps its text in the
-    quarantined original.
+    quarantined original. The checked rows are written once (``store``), and silver, quarantine and metrics read them:
+    otherwise each would clean and check all rows again, with the cleaning repeated inside every later expression.
     """
     if missing not in ("strict", "warn", "quarantine_only"):
         raise ValueError(f"unknown mode {missing!r}")
@@ -106,6 +134,8 @@ def transform(raw: DataFrame, contract: Contract | None, rules: list[Rule] = (),
     no_contract = F.lit(contract is None and missing != "warn")
     reason = F.when(F.col("__empty"), "empty_row").when(no_contract, "missing_schema_contract").when(F.size("_violations") > 0, "validation_failed").when(F.size("_errors") > 0, "transformation_errors")
     checked = scored.withColumn("__reason", reason)
+    if store:
+        checked = materialise(checked, "checked")
     lineage = [c for c in ("_row_id", "_batch_id", "_source_id", "_dedup_key", "_extracted_at") if c in checked.columns]
     good = checked.where("__reason is null")
     silver = good.select(*[F.col(c).alias("_bronze_row_id") if c == "_row_id" else F.col(c) for c in lineage], (at if at is not None else F.current_timestamp()).alias("_cleaned_at"), F.lit(version).alias("_cleaning_version"), *[F.col(f"`{c}`") for c in data_columns(ruled) if not c.startswith("__")], "_quality_score", "_completeness_score", "_validity_score", "_applied_rules", F.col("_validation_warnings").alias("_warnings"))

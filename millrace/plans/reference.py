@@ -345,7 +345,7 @@ _DEV = "WITH r AS (SELECT DISTINCT _anomaly_id, _source_id, _metric, _detected_a
 def _deviation(spark, d, current: bool):
     rows = table(spark, d, "quality_anomalies").select("_anomaly_id", "_source_id", "_metric", "_detected_at", F.col("_value").cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')").distinct()
     out = quality.deviation(rows, ["_source_id", "_metric"], ["_detected_at", "_anomaly_id"], "v", include_current=current)
-    return out.select("_anomaly_id", "n_seen", (F.col("is_anomaly") & (F.col("spread") > 1e-9)).alias("is_anomaly"))
+    return out.select("_anomaly_id", "n_seen", "is_anomaly")
 
 
 @query(_DEV.format("20 PRECEDING AND 1 PRECEDING"))

@@ -44,12 +44,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder of this process is made and removed at exit.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, in local mode,
+    a folder of this process is made and removed at exit; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,89 +10,85 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Part:
-    """A field of a message: its kind, whether it must be there (always, or when another field has a value), and bounds."""
+    """A field of a message: its kind, whether it must be there (always, or when another field has a value), and bounds.
+
+    ``not_empty`` holds for texts, lists and objects; ``longest`` for texts; ``least`` and ``most`` for numbers.
+    """
 
     name: str
     kind: str = "string"
     required: bool = False
     when: tuple[str, str] | None = None
     choices: tuple[str, ...] = ()
+    not_empty: bool = False
     least: float | None = None
     most: float | None = None
     longest: int | None = None
 
 
-def _parts(text: str) -> tuple[Part, ...]:
-    """Fields from lines ``name kind [required] [when=field:value] [in=a|b] [min=n] [max=n] [len=n]``."""
-    out = []
-    for line in text.strip().splitlines():
-        name, kind, *rest = line.split()
-        o: dict[str, Any] = {}
-        for r in rest:
-            k, _, v = r.partition("=")
-            if k == "required":
-                o["required"] = True
-            elif k == "when":
-                o["when"] = tuple(v.split(":"))
-            elif k == "in":
-                o["choices"] = tuple(v.split("|"))
-            else:
-                o[{"min": "least", "max": "most", "len": "longest"}[k]] = int(v) if k == "len" else float(v)
-        out.append(Part(name, kind, **o))
-    return tuple(out)
-
-
 # The messages of each topic.
 TOPICS = {
-    "connection_topic": _parts("""
-        type string required in=file|database
-        filename string when=type:file len=255
-        saved_path string when=type:file
-        size integer when=type:file min=0
-        db_type string when=type:database in=mysql|postgres|sqlite|mssql|oracle
-        host string when=type:database
-        user string when=type:database
-        password string when=type:database
-        database string when=type:database
-        port integer when=type:database min=1 max=65535
-    """),
-    "schema_topic": _parts("""
-        source string required
-        type string required in=file|database
-        columns list required
-        dtypes dict
-        row_count integer min=0
-    """),
-    "extracted_rows_topic": _parts("""
-        source string required
-        source_id string required
-        schema_version string required
-        row_id integer min=0
-        data dict
-        rows list
-        batch_size integer min=1
-    """),
-    "clean_rows_topic": _parts("""
-        source string required
-        source_id string required
-        schema_version string required
-        data dict
-        rows list
-        batch_size integer min=1
-        quality_score float min=0 max=1
-        warnings list
-    """),
-    "load_rows_topic": _parts("""
-        source string required
-        status string required in=success|error
-        rows_loaded integer min=0
-        error string when=status:error
-    """),
-    "metadata_topic": _parts("""
-        timestamp string required
-        event_type string
-        details dict
-    """),
+    "connection_topic": (
+        Part("type", required=True, choices=("file", "database")),
+        Part("filename", when=("type", "file"), not_empty=True, longest=255),
+        Part("path", when=("type", "file"), not_empty=True),
+        Part("size", "integer", when=("type", "file"), least=0),
+        Part("db_type", when=("type", "database"), choices=("mysql", "postgres", "sqlite", "mssql", "oracle")),
+        Part("host", when=("type", "database"), not_empty=True),
+        Part("user", when=("type", "database"), not_empty=True),
+        Part("password", when=("type", "database")),
+        Part("database", when=("type", "database"), not_empty=True),
+        Part("port", "integer", when=("type", "database"), least=1, most=65535),
+    ),
+    "schema_topic": (
+        Part("source", required=True, not_empty=True),
+        Part("type", required=True, choices=("file", "database")),
+        Part("columns", "list", required=True, not_empty=True),
+        Part("dtypes", "dict"),
+        Part("row_count", "integer", least=0),
+        Part("table"),
+    ),
+    "extracted_rows_topic": (
+        Part("source", required=True, not_empty=True),
+        Part("source_id", required=True, not_empty=True),
+        Part("row_id", "integer", least=0),
+        Part("table"),
+        Part("data", "dict", not_empty=True),
+        Part("rows", "list", not_empty=True),
+        Part("batch_id"),
+        Part("extracted_at"),
+        Part("row_count", "integer", least=1),
+        Part("schema_version", required=True, not_empty=True),
+    ),
+    "clean_rows_topic": (
+        Part("source", required=True, not_empty=True),
+        Part("source_id", required=True, not_empty=True),
+        Part("row_id", "integer"),
+        Part("table"),
+        Part("data", "dict", not_empty=True),
+        Part("rows", "list", not_empty=True),
+        Part("batch_id"),
+        Part("cleaned_at"),
+        Part("row_count", "integer", least=1),
+        Part("schema_version", required=True, not_empty=True),
+        Part("quality_score", "float", least=0.0, most=1.0),
+        Part("warnings", "list"),
+    ),
+    "load_rows_topic": (
+        Part("source", required=True, not_empty=True),
+        Part("table"),
+        Part("status", required=True, choices=("success", "error")),
+        Part("row_count", "integer", least=0),
+        Part("error", when=("status", "error")),
+        Part("batch_id"),
+    ),
+    "metadata_topic": (
+        Part("event_type", not_empty=True),
+        Part("metadata_type", not_empty=True),
+        Part("timestamp", required=True, not_empty=True),
+        Part("source"),
+        Part("data", "dict"),
+    ),
 }
 
 _KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "float": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "datetime": r"^(STRING|TIMESTAMP.*|DATE)$", "dict": r"^OBJECT", "list": r"^ARRAY", "any": r""}
@@ -114,8 +109,9 @@ def problems(value: Column, topic: str) -> Column:
         if p.when:
             needed = F.coalesce(F.try_variant_get(v, f"$.{p.when[0]}", "string") == p.when[1], F.lit(False))
         problem = F.when(needed & ~F.coalesce(there, F.lit(False)), f"{p.name}: missing").when(there & ~kind.rlike(_KINDS[p.kind]), f"{p.name}: not {p.kind}")
-        if p.required and p.kind == "string":
-            problem = problem.when(there & (F.trim(text) == ""), f"{p.name}: empty")
+        if p.not_empty:
+            blank = F.trim(text) == "" if p.kind == "string" else F.to_json(part).isin("[]", "{}")
+            problem = problem.when(there & blank, f"{p.name}: empty")
         if p.choices:
             problem = problem.when(there & ~text.isin(list(p.choices)), f"{p.name}: not one of {', '.join(p.choices)}")
         if p.longest is not None:
@@ -128,6 +124,9 @@ def problems(value: Column, topic: str) -> Column:
         out.append(problem)
     if topic in ("extracted_rows_topic", "clean_rows_topic"):
         out.append(F.when(F.try_variant_get(v, "$.data", "variant").isNull() & F.try_variant_get(v, "$.rows", "variant").isNull(), "data: neither data nor rows"))
+    if topic == "metadata_topic":
+        named = [F.coalesce(F.trim(F.try_variant_get(v, f"$.{n}", "string")) != "", F.lit(False)) for n in ("event_type", "metadata_type")]
+        out.append(F.when(~named[0] & ~named[1], "event_type: neither event_type nor metadata_type"))
     whole = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     return F.when(~whole, F.array(F.lit("message: no JSON object"))).otherwise(F.array_compact(F.array(*out)))
 

@@ -6,7 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,26 +51,35 @@ def check_csv_options(delimiter: str = ",", encoding: str | None = None, skip_ro
             raise SourceError(f"unknown encoding {encoding!r}") from None
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, encoding: str | None = None, skip_rows: int = 0, schema: T.StructType | None = None, provenance: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, encoding: str | None = None, skip_rows: int = 0, schema: T.StructType | None = None, provenance: bool = False, multi_line: bool = True) -> DataFrame:
     """Text columns of delimited files; quoted fields may span lines. Splits of the files are the chunks.
 
-    ``skip_rows`` lines before the header are left out (of each file, by line number of the file). ``provenance``
-    adds ``_file_name`` and ``_file_size``.
+    ``multi_line=False`` says that no field holds a line break, which lets one file be read in many splits.
+    ``skip_rows`` lines before the header are left out (of each file, by line number of the file); columns are then those
+    of all headers together, each file's values under its own header. ``provenance`` adds ``_file_name`` and
+    ``_file_size``.
     """
     check_csv_options(delimiter, encoding, skip_rows)
-    options = {"sep": delimiter, "header": str(header and not skip_rows).lower(), "encoding": encoding or "utf-8", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options = {"sep": delimiter, "header": str(header and not skip_rows).lower(), "encoding": encoding or "utf-8", "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     if not skip_rows:
         reader = spark.read.options(**options)
         df = (reader.schema(schema) if schema else reader).csv(path)
     else:
-        return _read_skipping(spark, path, delimiter, header, encoding or "utf-8", skip_rows)
+        return _read_skipping(spark, path, delimiter, header, encoding or "utf-8", skip_rows, schema, provenance)
     if provenance:
         df = df.withColumns({"_file_name": F.col("_metadata.file_name"), "_file_size": F.col("_metadata.file_size").cast("decimal(20,0)")})
     return df
 
 
-def _read_skipping(spark: SparkSession, path: str, delimiter: str, header: bool, encoding: str, skip_rows: int) -> DataFrame:
-    """Files with lines before the header: a file is decoded and split in one task, files in parallel."""
+#: Columns of all headers together, at most.
+MAX_COLUMNS = 10_000
+
+
+def _read_skipping(spark: SparkSession, path: str, delimiter: str, header: bool, encoding: str, skip_rows: int, schema: T.StructType | None, provenance: bool) -> DataFrame:
+    """Files with lines before the header: a file is decoded and split in one task, files in parallel.
+
+    Names of the columns are gathered from the header of every file in a first pass over their heads.
+    """
     from millrace.session import ship
 
     ship(spark)
@@ -81,27 +90,64 @@ def _read_skipping(spark: SparkSession, path: str, delimiter: str, header: bool,
             lines.readline()
         return csv.reader(lines, delimiter=delimiter)
 
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(data: Iterator[list[str]]) -> tuple[list[str], Iterator[list[str]]]:
+        first = next(data, [])
+        if header:
+            return [n.strip() or f"column_{i}" for i, n in enumerate(first)], data
+        return [f"_c{i}" for i in range(len(first))], chain([first], data)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([next(records(c), []) for c in b["content"].to_pylist()], pa.list_(pa.string()))], ["names"])
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
+                names = named(records(content))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string())], ["path", "pos", "name"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    first = files.limit(1).mapInArrow(head, "names array<string>").first()
-    found = list(first[0]) if first else []
-    names = found if header else [f"_c{i}" for i in range(len(found))]
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    if schema:
+        columns = [f.name for f in schema.fields]
+    else:
+        seen = files.mapInArrow(heads, "path string, pos int, name string").groupBy("name").agg(F.min(F.struct("path", "pos")).alias("at"))
+        columns = [r[0] for r in seen.orderBy("at").limit(MAX_COLUMNS + 1).collect()]
+        if len(columns) > MAX_COLUMNS:
+            raise SourceError(f"the headers name over {MAX_COLUMNS} columns")
+    if not columns:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    extra = ["_file_name", "_file_size"] if provenance else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"].to_pylist():
-                data = records(content)
-                if header:
-                    next(data, None)
+            for path, size, content in zip(*(b[c].to_pylist() for c in ("path", "length", "content"))):
+                names, data = named(records(content))
+                at = [names.index(c) if c in names else None for c in columns]
                 while part := list(islice(data, 10_000)):
                     full = [r for r in part if r]
-                    cols = [pa.array([(r[i] or None) if i < len(r) else None for r in full], pa.string()) for i in range(len(names))]
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                    cols = [pa.array([(r[i] or None) if i is not None and i < len(r) else None for r in full], pa.string()) for i in at]
+                    if provenance:
+                        cols += [pa.array([path.rsplit("/", 1)[-1]] * len(full), pa.string()), pa.array([str(size)] * len(full), pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, columns + extra)
+
+    text = files.mapInArrow(rows, T.StructType([T.StructField(n, T.StringType()) for n in columns + extra]))
+    kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
+    if provenance:
+        kinds["_file_size"] = T.DecimalType(20, 0)
+    return text.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in columns + extra])
+
 
-    return files.mapInArrow(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+def estimate_rows(spark: SparkSession, path: str, sample_bytes: int = 1 << 20) -> int:
+    """Number of records of delimited files, estimated from their size and the length of the lines in the head of the first file.
+
+    Small sets are counted. The header is no record; the figure is for progress reports only.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length")
+    total, first = files.agg(F.sum("length"), F.min("path")).first()
+    if not total:
+        return 0
+    lines = spark.read.text(path)
+    if total <= sample_bytes:
+        return max(0, lines.count() - files.count())
+    head = spark.read.text(first).limit(1000)
+    mean = head.agg(F.avg(F.octet_length("value") + 1)).first()[0]
+    return max(0, round(total / mean) - files.count())
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> tuple[DataFrame, bool]:
@@ -197,6 +243,20 @@ def scan_sql(table: str, kind: str, where: str | None = None, key: str | None =
     return f"SELECT * FROM {quote_name(table, kind)}" + (f" WHERE {' AND '.join(parts)}" if parts else "")
 
 
+def page_sql(table: str, kind: str, limit: int, where: str | None = None, key: str | None = None, after=None, offset: int = 0) -> str:
+    """The query of one page: beyond the last key where there is one, else by offset in a stable order.
+
+    Without a key postgres pages by the physical place of rows (``ctid``); other databases page by offset alone, which
+    is stable only while the table is not written.
+    """
+    if limit < 1 or offset < 0:
+        raise SourceError("limit must be 1 at least, offset not negative")
+    if key is not None:
+        return f"{scan_sql(table, kind, where, key, after)} ORDER BY {quote_name(key, kind)} LIMIT {limit}" + (f" OFFSET {offset}" if offset else "")
+    order = " ORDER BY ctid" if kind.startswith("postgres") else ""
+    return f"{scan_sql(table, kind, where)}{order} LIMIT {limit} OFFSET {offset}"
+
+
 def read_jdbc(spark: SparkSession, kind: str, url: str, table: str, user: str, password: str, where: str | None = None, key: str | None = None, after=None, bounds: tuple[int, int] | None = None, partitions: int = 1, no_key: str = "warn") -> DataFrame:
     """A table by JDBC, incremental beyond ``after``, in parallel over a numeric ``key`` where ``bounds`` are known.
 
@@ -251,9 +311,12 @@ def required_errors(df: DataFrame, required: list[str]) -> Column:
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", most: int | None = None) -> DataFrame:
-    """A Kafka topic as stream of ``key, value`` text; needs the connector on the class path."""
-    reader = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"})
+def read_topic(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", most: int | None = None, lossy: bool = False) -> DataFrame:
+    """A Kafka topic as stream of ``key, value`` text; needs the connector on the class path.
+
+    Offsets that the topic no longer holds stop the query; ``lossy`` goes on without them.
+    """
+    reader = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": str(not lossy).lower()})
     if most:
         reader = reader.option("maxOffsetsPerTrigger", most)
     return reader.load().selectExpr("cast(key as string) key", "cast(value as string) value", "timestamp")

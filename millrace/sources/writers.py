@@ -98,11 +98,75 @@ def staged_load(df: DataFrame, path: str, keys: list[str], order: list | None =
         staged.write.mode("append").parquet(path)
         after = spark.read.parquet(path).count()
         if after - before != n:
-            raise LoadError(f"staged {n} rows, target grew by {after - before}")
+            undo(spark, path, staged, keys)
+            raise LoadError(f"staged {n} rows, target grew by {after - before}; the append was undone")
     delete_path(spark, staging)
     return n
 
 
+def undo(spark: SparkSession, path: str, appended: DataFrame, keys: list[str]) -> int:
+    """Delete the files of the table that hold rows of ``appended``, whose keys no earlier row had; returns how many."""
+    target = spark.read.parquet(path).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("_metadata.file_path").alias("__file"))
+    mine = appended.select(*[F.col(f"`{k}`").alias(f"__m{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same = same & F.col(f"__k{i}").eqNullSafe(F.col(f"__m{i}"))
+    files = [r[0] for r in target.join(mine, same, "left_semi").select("__file").distinct().collect()]  # files of one append
+    for f in files:
+        delete_path(spark, f)
+    return len(files)
+
+
+def resilient_load(df: DataFrame, path: str, keys: list[str], dead: str, breaker: CircuitBreaker | None = None, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> int:
+    """A staged load with retries behind a breaker; a batch that cannot be loaded goes to the dead-letter folder with the error, and the error is raised."""
+    call = (breaker or CircuitBreaker()).call
+    try:
+        return with_retry(lambda: call(lambda: staged_load(df, path, keys)), tries, sleep=sleep)
+    except Exception as e:
+        letter = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("message"), F.lit(f"{type(e).__name__}: {str(e)[:500]}").alias("error"), F.current_timestamp().alias("failed_at"))
+        letter.write.mode("append").parquet(dead)
+        raise
+
+
+def direct_write(df: DataFrame, path: str, required: list[str] = ()) -> tuple[int, int]:
+    """Append rows as they are, without staging, after a check of required fields; returns (written, refused)."""
+    from millrace.sources.readers import required_errors
+
+    checked = df.withColumn("__errors", required_errors(df, list(required)))
+    good = checked.where(F.size("__errors") == 0).drop("__errors")
+    n, every = good.count(), df.count()
+    if n:
+        good.write.mode("append").parquet(path)
+    return n, every - n
+
+
+def write_bronze(df: DataFrame, path: str, source: str, offset: int = 0, required: list[str] = (), tries: int = 3, at=None, sleep: Callable[[float], None] = time.sleep) -> dict[str, int]:
+    """The whole bronze write: check required fields, add lineage, leave out rows the table has, write with retries, verify the count.
+
+    Returns ``read, refused, repeated, written``. A write whose count is wrong is undone and raised.
+    """
+    from millrace.plans.pipeline import bronze_fresh
+    from millrace.sources.readers import required_errors
+
+    spark = df.sparkSession
+    checked = df.withColumn("__errors", required_errors(df, list(required)))
+    good = checked.where(F.size("__errors") == 0).drop("__errors")
+    read, sound = df.count(), good.count()
+    target = read_target(spark, path)
+    fresh = bronze_fresh(good, source, offset, at, target)
+    n = with_retry(lambda: staged_load(fresh, path, ["_dedup_key"]), tries, sleep=sleep)
+    return {"read": read, "refused": read - sound, "repeated": sound - n, "written": n}
+
+
+def table_engine(columns: list[str], dedup: str = "_dedup_key", version: str = "_cleaned_at") -> dict[str, object]:
+    """How a table keeps its rows: replaced by key where it has the dedup column (latest ``version`` wins), else appended; its sort order and monthly partition."""
+    has = set(columns)
+    times = [c for c in ("_extracted_at", "_cleaned_at", "_quarantined_at") if c in has]
+    if dedup in has:
+        return {"mode": "replace", "keys": [dedup], "version": version if version in has else (times or [None])[0], "partition": times[0] if times else None}
+    return {"mode": "append", "keys": [], "version": None, "partition": times[0] if times else None}
+
+
 def quarantine_rows(df: DataFrame, reason, errors, source, batch, at=None) -> DataFrame:
     """Rows put aside: ids, reason, errors and the original as JSON, nulls included."""
     original = F.to_json(F.struct(*[c for c in df.columns]), {"ignoreNullFields": "false"})

@@ -12,7 +12,6 @@ from millrace.operators.contracts import Contract
 from millrace.operators.exactly_once import QuotientStore
 from millrace.operators.rules import Rule
 from millrace.plans.pipeline import bronze, transform
-from millrace.sources.writers import read_target
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -30,17 +29,16 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 def medallion(out: str, source: str, contract: Contract | None, rules: list[Rule] = (), missing: str = "warn") -> Callable[[DataFrame, int], None]:
     """A micro-batch function: bronze, silver and quarantine under ``out``, each in a folder of the micro-batch.
 
-    First writer wins over all micro-batches by content key; folders of the same micro-batch are replaced on a retry.
+    First writer wins over all micro-batches by content key, known from a store of identifiers, so earlier rows are not
+    read again; folders of the same micro-batch are replaced on a retry.
     """
 
     def each(batch: DataFrame, batch_no: int) -> None:
         spark = batch.sparkSession
         raw = bronze(batch, source, batch_no)
-        earlier = read_target(spark, f"{out}/bronze")
-        fresh = raw.dropDuplicates(["_dedup_key"])
-        if earlier is not None:
-            seen = earlier.where(F.col("micro_batch") != batch_no).select("_dedup_key").distinct()
-            fresh = fresh.join(seen, "_dedup_key", "left_anti").select(*raw.columns)
+        store = QuotientStore(spark, f"{out}/keys")
+        new = store.insert(raw.select("_dedup_key", F.lit("bronze").alias("_stage"), F.col("_extracted_at").alias("_processed_at"), "_row_id"), batch_no)
+        fresh = raw.dropDuplicates(["_dedup_key"]).join(new.select("_dedup_key"), "_dedup_key", "left_semi").select(*raw.columns)
         fresh.write.mode("overwrite").parquet(f"{out}/bronze/micro_batch={batch_no}")
         written = spark.read.schema(raw.schema).parquet(f"{out}/bronze/micro_batch={batch_no}")
         result = transform(written, contract, rules, missing)

@@ -157,7 +157,7 @@ def test_resumable(spark):
 
 def test_message_checks(spark):
     rows = [
-        ({"type": "file", "filename": "a.csv", "saved_path": "/x", "size": 5}, []), ({"type": "file", "filename": "a" * 300, "saved_path": "/x", "size": -1}, ["filename: too long", "size: too small"]), ({"type": "ftp"}, ["type: not one of file, database"]),
+        ({"type": "file", "filename": "a.csv", "path": "/x", "size": 5}, []), ({"type": "file", "filename": "a" * 300, "path": "/x", "size": -1}, ["filename: too long", "size: too small"]), ({"type": "ftp"}, ["type: not one of file, database"]),
         ({"type": "database", "db_type": "mysql", "host": "h", "user": "u", "password": "p", "database": "d", "port": "1"}, ["port: not integer"]), ({}, ["type: missing"]), ({"type": None}, ["type: missing"]), ({"type": " "}, ["type: empty"]),
     ]
     df = spark.createDataFrame([(i, json.dumps(m)) for i, (m, _) in enumerate(rows)] + [(90, "no json"), (91, None), (92, "[1]")], "i int, value string")
