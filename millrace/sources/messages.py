@@ -109,7 +109,7 @@ def problems(value: Column, topic: str) -> Column:
         if p.when:
             needed = F.coalesce(F.try_variant_get(v, f"$.{p.when[0]}", "string") == p.when[1], F.lit(False))
         problem = F.when(needed & ~F.coalesce(there, F.lit(False)), f"{p.name}: missing").when(there & ~kind.rlike(_KINDS[p.kind]), f"{p.name}: not {p.kind}")
-        if p.not_empty:
+        if p.not_empty or (p.required and p.kind == "string"):
             blank = F.trim(text) == "" if p.kind == "string" else F.to_json(part).isin("[]", "{}")
             problem = problem.when(there & blank, f"{p.name}: empty")
         if p.choices:
