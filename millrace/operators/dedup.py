@@ -57,11 +57,14 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node with its parents and children, sorted: ``id, parents, children``. Edges are ``parent, child``."""
-    up = edges.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_set("parent")).alias("parents"))
-    down = edges.groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_set("child")).alias("children"))
-    none = F.array().cast("array<string>")
-    return nodes.select("id").distinct().join(up, "id", "left").join(down, "id", "left").select("id", F.coalesce("parents", none).alias("parents"), F.coalesce("children", none).alias("children"))
+    """Parents and children of each node, one row each: ``id, relation, neighbour``. Edges are ``parent, child``.
+
+    A hub's neighbours are rows, not one list, so nothing is gathered per node; repeated edges count once and a node
+    without neighbours has no row.
+    """
+    once = edges.select("parent", "child").distinct()
+    ends = once.select(F.inline(F.array(F.struct(F.col("child").alias("id"), F.lit("parent").alias("relation"), F.col("parent").alias("neighbour")), F.struct(F.col("parent").alias("id"), F.lit("child").alias("relation"), F.col("child").alias("neighbour")))))
+    return ends.join(nodes.select("id").distinct(), "id", "left_semi")
 
 
 def last_value_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -86,9 +86,9 @@ def _ask(question: str, name: str, df: DataFrame, **extra) -> DataFrame:
     return compile_ir(planner.plan(question, [info], **extra), df)
 
 
-@query(f"WITH {_SALES} SELECT order_date, round(sum(total_sales) / nullif(sum(orders), 0), 4) AS average_order_value FROM s GROUP BY 1")
+@query(f"WITH {_SALES} SELECT order_date, round(sum(total_sales) / nullif(sum(orders), 0), 6) AS average_order_value FROM s GROUP BY 1")
 def ask_derived_metric(spark, d):
-    return _ask("What is the average order value per day?", "sales_fact", _sales(spark, d)).withColumn("average_order_value", F.round("average_order_value", 4))
+    return _ask("What is the average order value per day?", "sales_fact", _sales(spark, d)).withColumn("average_order_value", F.round("average_order_value", 6))
 
 
 @query(f"WITH {_SALES} SELECT customers, total_sales FROM s")
@@ -603,3 +603,65 @@ def contract_evolution(case_name):
     new = {"field added": (i, c, a), "field removed": (i,), "type changed": (i, contracts.Field("city", "integer")), "made nullable": (contracts.Field("id", "integer", True), c), "same": (i, c)}[case_name]
     e = contracts.evolve(old, contracts.Contract("c", "1.1.0", new))
     return e.change_type, e.next_version, e.severity, e.backward_compatible
+
+
+# ---- SQL of queries that stand elsewhere -----------------------------------------------------------------------------------
+
+_UUID5 = "substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(s, 17, 1))::INTEGER % 4 + 1 AS INTEGER), 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12)"
+_RAW = f"""h AS (SELECT id, name, email, age, region, city, 'batch_crm_0_' || substr(sha256('crm:0'), 1, 8) AS b, sha256('crm:' || sha256(CAST(to_json({{'age': age, 'city': city, 'email': email, 'id': id, 'name': name, 'region': region}}) AS VARCHAR))) AS k FROM bronze_customers),
+u AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('crm:' || b || ':' || k || ':extract')) AS s FROM h), raw AS (SELECT {_UUID5} AS _row_id, b AS _batch_id, 'crm' AS _source_id, TIMESTAMP '2025-01-01' AS _extracted_at, k AS _dedup_key, id, name, email, age, region, city FROM u)"""
+ORACLES["bronze_rows"] = f"WITH {_RAW} SELECT * FROM raw"
+
+_CLEAN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
+_WHOLE = "coalesce(try_cast({0} AS BIGINT) IS NOT NULL AND regexp_full_match({0}, '[+-]?[0-9]+(\\.[0-9]*)?'), false)"
+
+
+def _checked(source: str, keep: str = "") -> str:
+    """Cleaned rows of a source with what is wrong with them."""
+    cleaned = ", ".join(f"{_CLEAN.format(x)} AS {x}" for x in _CUST)
+    bad = f"id IS NULL OR NOT {_WHOLE.format('id')} OR try_cast(id AS DOUBLE) < 1 OR NOT coalesce(email IS NULL OR regexp_full_match(lower(email), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), false) OR (age IS NOT NULL AND (NOT {_WHOLE.format('age')} OR NOT coalesce(try_cast(age AS DOUBLE) BETWEEN 0 AND 150, false)))"
+    return f"c AS (SELECT {keep}{cleaned} FROM {source}), k AS (SELECT *, coalesce(id, name, email, age, region, city) IS NULL AS nothing, {bad} AS bad FROM c)"
+
+
+ORACLES["silver_rows"] = (
+    f"WITH {_RAW}, {_checked('raw', '_row_id, _batch_id, _source_id, _dedup_key, _extracted_at, ')} SELECT _row_id AS _bronze_row_id, _batch_id, _source_id, _dedup_key, _extracted_at, TIMESTAMP '2025-01-01' AS _cleaned_at, '1.0.0' AS _cleaning_version, CAST(try_cast(id AS DOUBLE) AS BIGINT) AS id, name, lower(email) AS email, CAST(try_cast(age AS DOUBLE) AS BIGINT) AS age, region, city, "
+    "CAST(1.0 AS DOUBLE) AS _quality_score, CAST(1.0 AS DOUBLE) AS _completeness_score, CAST(1.0 AS DOUBLE) AS _validity_score, ['low'] AS _applied_rules, CAST([] AS VARCHAR[]) AS _warnings FROM k WHERE NOT nothing AND NOT bad"
+)
+ORACLES["stream_pipeline"] = f"WITH d AS (SELECT DISTINCT id, name, email, age, region, city FROM bronze_customers), {_checked('d')} SELECT layer, count(*) AS n FROM (SELECT 'bronze' AS layer FROM k UNION ALL SELECT CASE WHEN nothing OR bad THEN 'quarantine' ELSE 'silver' END FROM k) GROUP BY 1"
+
+_LOOK = "CASE WHEN regexp_full_match(trim({0}), '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(trim({0}), '[+-]?[0-9]*[.][0-9]+') THEN 'float' WHEN lower(trim({0})) IN ('true', 'false') THEN 'bool' WHEN {0} IS NOT NULL THEN 'text' END"
+ORACLES["quality_batch_metrics"] = (
+    f"WITH m AS (SELECT _source_id, _batch_id, count(*) AS row_count, CAST(1.0 AS DOUBLE) AS validity, ({' + '.join(f'count(*) FILTER (WHERE trim({c}) <> {chr(39) * 2})' for c in _CUST)}) / (6.0 * count(*)) AS completeness, ({' + '.join(f'CASE WHEN count(DISTINCT {_LOOK.format(c)}) <= 1 THEN 1 ELSE 0 END' for c in _CUST)}) / 6.0 AS consistency FROM bronze_customers GROUP BY 1, 2) "
+    "SELECT *, least(1.0, greatest(0.0, (completeness + validity + consistency) / 3.0)) AS quality FROM m"
+)
+_WIDTH = "CASE WHEN max(try_cast(trim({0}) AS BIGINT)) < 256 THEN 'UInt8' WHEN max(try_cast(trim({0}) AS BIGINT)) < 65536 THEN 'UInt16' WHEN max(try_cast(trim({0}) AS BIGINT)) < 4294967296 THEN 'UInt32' ELSE 'UInt64' END"
+_SHARE = "avg(CASE WHEN regexp_full_match(trim({0}), '-?[1-9][0-9]*|-?0') THEN 1.0 ELSE 0 END) FILTER (WHERE trim({0}) <> '')"
+_FILLED = "count(*) FILTER (WHERE trim({0}) <> '') / count(*)"
+ORACLES["infer_types"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CASE WHEN whole > 0.95 AND whole * filled >= 0.95 THEN width ELSE 'String' END AS type, CAST(CASE WHEN whole > 0.95 AND whole * filled >= 0.95 THEN whole * filled ELSE 1.0 END AS DOUBLE) AS confidence FROM (SELECT {_SHARE.format(c)} AS whole, {_FILLED.format(c)} AS filled, {_WIDTH.format(c)} AS width FROM bronze_customers)" for c in _CUST
+)
+
+
+@query(f"WITH {_RAW}, {_checked('raw', '_row_id, ')} SELECT _row_id, CASE WHEN nothing THEN 'empty_row' ELSE 'validation_failed' END AS reason FROM k WHERE nothing OR bad")
+def quarantine_reasons(spark, d):
+    """Rows put aside, with the reason and an original that can be read again."""
+    from millrace.plans.reference import QUERIES as more
+
+    q = more["quarantine_rows"](spark, d).where(F.try_parse_json("_original_row").isNotNull())
+    return q.select("_row_id", F.col("_quarantine_reason").alias("reason"))
+
+
+_NUMBERS = {"customer_id": "CAST(customer_id AS DOUBLE)", "age": "CAST(age AS DOUBLE)", "signup_date": "CAST(signup_date - DATE '1970-01-01' AS DOUBLE)", "total_sales": "total_sales", "_quality_score": "CAST(_quality_score AS DOUBLE)", "_completeness_score": "CAST(_completeness_score AS DOUBLE)", "_validity_score": "CAST(_validity_score AS DOUBLE)"}
+_TEXTS = ("_cleaning_version", "email", "region", "city", "phone")
+_ROWS = f"r AS (SELECT DISTINCT _row_id, _batch_id, regexp_extract(_batch_id, '^batch_(.*)_[^_]*_[^_]*$', 1) AS src, {', '.join([*_NUMBERS, *_TEXTS])} FROM silver_customers WHERE _batch_id IS NOT NULL)"
+_PARTS = [f"SELECT src, _batch_id AS load, '{c}' AS col, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL OR NOT isfinite(v)) AS n_null, count(DISTINCT v) FILTER (WHERE isfinite(v)) AS n_distinct, min(v) FILTER (WHERE isfinite(v)) AS lo_num, max(v) FILTER (WHERE isfinite(v)) AS hi_num, quantile_disc(v, 0.5) FILTER (WHERE isfinite(v)) AS median FROM (SELECT src, _batch_id, {e} AS v FROM r) GROUP BY 1, 2" for c, e in _NUMBERS.items()]
+_PARTS += [f"SELECT src, _batch_id, '{c}', count(*), count(*) FILTER (WHERE coalesce(trim({c}), '') = ''), count(DISTINCT {c}) FILTER (WHERE trim({c}) <> ''), NULL, NULL, NULL FROM r GROUP BY 1, 2" for c in _TEXTS]
+
+
+@query(f"WITH {_ROWS} {' UNION ALL '.join(_PARTS)}")
+def p7_basics(spark, d):
+    """What of the profile plain SQL can say: rows, nulls, distinct values, range and median of every load and column."""
+    from millrace.plans.problems import p7_profile
+
+    p = p7_profile(spark, d).where("col not like '%#%'")
+    return p.select("src", "load", "col", "n_rows", "n_null", "n_distinct", "lo_num", "hi_num", F.get("q", F.lit(2)).alias("median"))

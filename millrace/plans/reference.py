@@ -414,11 +414,10 @@ def lineage_uuid5(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ids.lineage_id(F.lit("src"), F.lit("b"), F.col("o_orderkey").cast("string"), "extract").alias("id"))
 
 
-@query("WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS p, 'p' || l_partkey AS c FROM lineitem WHERE l_linenumber = 1), n AS (SELECT p AS id FROM e UNION SELECT c FROM e) SELECT id, (SELECT count(*) FROM e WHERE c = id) AS n_parents, (SELECT count(*) FROM e WHERE p = id) AS n_children FROM n")
+@query("WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS p, 'p' || l_partkey AS c FROM lineitem) SELECT c AS id, 'parent' AS relation, p AS neighbour FROM e UNION ALL SELECT p, 'child', c FROM e")
 def lineage_neighbours(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.concat(F.lit("p"), "l_partkey").alias("child"))
-    nodes = e.select(F.explode(F.array("parent", "child")).alias("id"))
-    return dedup.neighbours(nodes, e).select("id", F.size("parents").cast("bigint").alias("n_parents"), F.size("children").cast("bigint").alias("n_children"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.concat(F.lit("p"), "l_partkey").alias("child"))
+    return dedup.neighbours(e.select(F.explode(F.array("parent", "child")).alias("id")), e)
 
 
 # ---- inference, pipeline, sinks ---------------------------------------------------------------------------------------
