@@ -227,8 +227,8 @@ def unify(records: DataFrame, checkpoints: DataFrame, names: DataFrame) -> DataF
     return rows.select("record_id", "extraction_id", "source_id", "schema_version", "_extracted_at", data.alias("data"), uncast.alias("uncast"))
 
 
-#: Columns of the typed table at most; further fields stay in ``data``.
-MAX_COLUMNS = 2000
+#: Columns of the typed table at most, those of most versions first; further fields stay in ``data``.
+MAX_COLUMNS = 256
 
 
 def typed(unified: DataFrame, names: DataFrame) -> DataFrame:
@@ -239,18 +239,18 @@ def typed(unified: DataFrame, names: DataFrame) -> DataFrame:
     one of the fixed columns gets the suffix ``_field``. Fields that no contract names, and those beyond ``MAX_COLUMNS``,
     stay in the map ``data``.
     """
-    kinds = names.select(F.explode(F.map_values("names")).alias("f")).select("f.field", "f.type").distinct().groupBy("field").agg(F.when(F.count("*") == 1, F.first("type")).otherwise("string").alias("type"))
-    fields = sorted(kinds.limit(MAX_COLUMNS + 1).collect())
+    kinds = names.select(F.explode(F.map_values("names")).alias("f")).groupBy("f.field").agg(F.when(F.count_distinct("f.type") == 1, F.first("f.type")).otherwise("string").alias("type"), F.count("*").alias("n"))
+    fields = sorted((r[0], r[1]) for r in kinds.orderBy(F.desc("n"), "field").limit(MAX_COLUMNS).collect())
     fixed = ["record_id", "extraction_id", "source_id", "schema_version", "_extracted_at"]
     taken = {x.lower() for x in (*fixed, "uncast", "data")}
     columns = []
-    for name, kind in fields[:MAX_COLUMNS]:
+    for name, kind in fields:
         label = name
         while label.lower() in taken:
             label += "_field"
         taken.add(label.lower())
         value = F.get(F.array(F.col("data")[name]), F.lit(0))
         columns.append((value.try_cast(_CAST[kind]) if kind in _CAST else value).alias(label))
-    known = F.array(*[F.lit(n) for n, _ in fields[:MAX_COLUMNS]]).cast("array<string>")
+    known = F.array(*[F.lit(n) for n, _ in fields]).cast("array<string>")
     extra = F.map_filter("data", lambda k, v: ~F.array_contains(known, k)).alias("data")
     return unified.select(*fixed, *columns, extra, "uncast")
