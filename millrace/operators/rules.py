@@ -188,6 +188,21 @@ class Change:
 Action = Callable[[DataFrame], Change]
 
 
+def field_condition(name: str, exists: bool = True) -> Condition:
+    """Builder: the column is there, or is not."""
+    return field_exists(name) if exists else field_not_exists(name)
+
+
+def type_condition(name: str, expected: str) -> Condition:
+    """Builder: the column is there and its value has the type."""
+    return all_of(field_exists(name), field_type(name, expected))
+
+
+def regex_condition(name: str, pattern: str) -> Condition:
+    """Builder: the column is there and its text begins with a match of the pattern."""
+    return all_of(field_exists(name), field_value_matches(name, pattern))
+
+
 def _strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in RESERVED]
 

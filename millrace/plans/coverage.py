@@ -48,7 +48,8 @@ def fixed(columns: str, cases: list[tuple]):
 
     def add(f):
         def run(spark: SparkSession, d: str) -> DataFrame:
-            rows = [(*c[: len(c) - n_out], *(r if isinstance(r, tuple) else (r,))) for c in cases for n_out in [len(names) - f.__code__.co_argcount] for r in [f(*c[: f.__code__.co_argcount])]]
+            k = f.__code__.co_argcount
+            rows = [(*c[:k], *(r if isinstance(r, tuple) else (r,))) for c in cases for r in [f(*c[:k])]]
             kinds = []
             for i, n in enumerate(names):
                 v = next((r[i] for r in [*rows, *cases] if r[i] is not None), "")
@@ -516,6 +517,20 @@ def rule_remove_field(spark, d):
     return done.drop(*rules.RESERVED)
 
 
+@query("SELECT p_partkey, true AS there, p_size IS NOT NULL AS typed, coalesce(regexp_matches(p_brand, '^Brand#[12]'), false) AS matching FROM part")
+def condition_builders(spark, d):
+    df = table(spark, d, "part")
+    both = rules.all_of(rules.field_condition("p_name"), rules.field_condition("nothing", False))
+    return df.select("p_partkey", F.coalesce(both(df), F.lit(False)).alias("there"), F.coalesce(rules.type_condition("p_size", "integer")(df), F.lit(False)).alias("typed"), F.coalesce(rules.regex_condition("p_brand", "Brand#[12]")(df), F.lit(False)).alias("matching"))
+
+
+@query("SELECT _row_id, CASE WHEN email IS NULL THEN 0 ELSE 1 END + CASE WHEN age IS NULL THEN 0 ELSE 1 END AS n FROM silver_customers")
+def null_fields_left(spark, d):
+    """Fields of each row that hold a value, after null ones are removed from its map form."""
+    df = table(spark, d, "silver_customers").select("_row_id", F.create_map(F.lit("email"), F.col("email"), F.lit("age"), F.col("age").cast("string")).alias("data"))
+    return df.select("_row_id", F.size(F.map_filter("data", lambda k, v: v.isNotNull())).alias("n"))
+
+
 @query("SELECT url AS t, url SIMILAR TO 'https?://[^[:space:]/$.?#].[^[:space:]]*' AS ok_url, uuid_text AS u, regexp_full_match(uuid_text, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS ok_uuid FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'http://a.example/' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'ftp://x/' || o_orderkey ELSE 'none' || o_orderkey END AS url, CASE WHEN o_orderkey % 2 = 0 THEN '00000000-0000-0000-0000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE 'u' || o_orderkey END AS uuid_text FROM orders)")
 def constraint_url_uuid(spark, d):
     k = F.col("o_orderkey")
@@ -588,6 +603,27 @@ def resumable_extractions(spark, d):
     return jobs.resumable(table(spark, d, "extraction_checkpoints")).select("extraction_id", "last_offset")
 
 
+@fixed("done, total, seconds, percent, seconds_left", [(50, 200, 10.0, 25.0, 30.0), (0, 200, 10.0, 0.0, None), (300, 200, 3.0, 100.0, 0.0), (5, None, 1.0, None, None)])
+def progress_shares(done, total, seconds):
+    from millrace.streaming import jobs
+
+    r = jobs.progress_figures(done, total, seconds)
+    return r["percent"], r["seconds_left"]
+
+
+@query("SELECT 'age' AS column_name, 'string' AS type UNION ALL SELECT 'id', 'int' UNION ALL SELECT 'email', 'string'")
+def silver_types(spark, d):
+    """Types of the silver table made from bronze rows."""
+    made = pipeline.silver_schema_from(table(spark, d, "bronze_customers").select("_row_id", "id", "email", "age"))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in made.fields if not f.name.startswith("_")], "column_name string, type string")
+
+
+@query("SELECT * FROM (VALUES ('cc_nation', 'n_nationkey', 'int'), ('cc_nation', 'n_name', 'string'), ('cc_nation', 'n_regionkey', 'int')) t(table_name, column_name, type)")
+def catalog_columns(spark, d):
+    table(spark, d, "nation").createOrReplaceTempView("cc_nation")
+    return catalog.columns(spark, ["cc_nation"]).select("table_name", "column_name", "type")
+
+
 @fixed("case_name, chart", [("one number", "card"), ("series", "line"), ("ranking", "bar"), ("pair", "scatter"), ("distribution", "histogram")])
 def charts_by_intent(case_name):
     q = {"one number": "overall total revenue", "series": "total revenue per month", "ranking": "Which region has the highest population?", "pair": "What is the relationship between customers and total sales?", "distribution": "How are orders distributed?"}[case_name]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from millrace.functions import text as X
 from millrace.functions.ids import batch_id, lineage_id, row_hash
 from millrace.operators.contracts import Contract, validate
+from millrace.operators.inference import infer_types, typed
 from millrace.operators.quality import batch_metrics, score_rows
 from millrace.operators.rules import Rule, apply_rules
 from millrace.session import materialise
@@ -159,11 +160,19 @@ def reprocess(quarantine: DataFrame, contract: Contract, rules: list[Rule] = (),
     return out, out.silver.select(F.col("_bronze_row_id").alias("_quarantine_id"))
 
 
-def silver_schema(contract: Contract) -> T.StructType:
-    """Typed fields of a contract between lineage and quality columns."""
+def silver_schema(contract: Contract, fields: list[T.StructField] | None = None) -> T.StructType:
+    """Typed fields of a contract, or those given, between lineage and quality columns."""
     lineage = [("_bronze_row_id", T.StringType()), ("_batch_id", T.StringType()), ("_source_id", T.StringType()), ("_cleaned_at", T.TimestampType()), ("_cleaning_version", T.StringType())]
     quality = [("_quality_score", T.DoubleType()), ("_completeness_score", T.DoubleType()), ("_validity_score", T.DoubleType()), ("_applied_rules", T.ArrayType(T.StringType())), ("_warnings", T.ArrayType(T.StringType()))]
-    return T.StructType([*[T.StructField(n, t) for n, t in lineage], *contract.struct().fields, *[T.StructField(n, t) for n, t in quality]])
+    return T.StructType([*[T.StructField(n, t) for n, t in lineage], *(contract.struct().fields if fields is None else fields), *[T.StructField(n, t) for n, t in quality]])
 
 
-__all__ = ["Outcome", "bronze", "clean_text", "coerce", "data_columns", "quarantine_rows", "reprocess", "silver_schema", "transform"]
+def silver_schema_from(bronze_table: DataFrame, strategy: str = "conservative") -> T.StructType:
+    """The silver schema of a bronze table: its text columns with the types their values have, between lineage and quality columns."""
+    names = data_columns(bronze_table)
+    found = infer_types(bronze_table.select(*[F.col(f"`{c}`") for c in names]), strategy)
+    kinds = typed(bronze_table.select(*[F.col(f"`{c}`") for c in names]).limit(0), found).schema
+    return silver_schema(Contract("inferred", "1.0.0", ()), kinds.fields)
+
+
+__all__ = ["Outcome", "bronze", "clean_text", "coerce", "data_columns", "quarantine_rows", "reprocess", "silver_schema", "silver_schema_from", "transform"]

@@ -67,13 +67,28 @@ def delete_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCRATCH: list[str] = []
+_REGISTERED: list = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder, removed at exit."""
+    """A fresh folder under the shared folder, removed by :func:`release` or at exit."""
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
+    if not _REGISTERED:
+        _REGISTERED.append(atexit.register(release, spark))
+    _SCRATCH.append(path)
     return path
 
 
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete scratch folders but the ``keep`` latest; for drivers that live long, once results are written. Returns how many."""
+    gone = _SCRATCH[: len(_SCRATCH) - keep]
+    del _SCRATCH[: len(gone)]
+    for path in gone:
+        delete_path(spark, path)
+    return len(gone)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as compressed parquet in the shared folder and read it back.
 

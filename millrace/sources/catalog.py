@@ -53,3 +53,15 @@ def exists(spark: SparkSession, name: str) -> bool:
 
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
+
+
+def columns(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """``table_name, column_name, type, nullable`` of the tables of the catalog; metadata only, one row a column."""
+    rows = [(n, f.name, f.dataType.simpleString(), f.nullable) for n in (names or tables(spark)) for f in spark.table(n).schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean")
+
+
+def columns_sql(kind: str) -> str:
+    """Query for tables and columns of a database, for a read over JDBC."""
+    scope = "table_schema = database()" if kind == "mysql" else "table_schema NOT IN ('pg_catalog', 'information_schema')"
+    return f"SELECT table_name, column_name, data_type, is_nullable FROM information_schema.columns WHERE {scope} ORDER BY table_name, ordinal_position"

@@ -72,6 +72,14 @@ def progress(query: StreamingQuery) -> dict:
     return {"batch": last["batchId"], "rows": last["numInputRows"], "rows_per_second": last["processedRowsPerSecond"]} if last else {"batch": None, "rows": 0, "rows_per_second": 0.0}
 
 
+def progress_figures(done: int, total: int | None, seconds: float) -> dict:
+    """Share done (percent, null where the total is not known), rows a second, and seconds left at that rate."""
+    rate = done / seconds if seconds > 0 else 0.0
+    share = None if not total else min(100.0, 100.0 * done / total)
+    left = None if not total or not rate else max(0.0, (total - done) / rate)
+    return {"rows": done, "percent": share, "rows_per_second": rate, "seconds_left": left}
+
+
 def resumable(checkpoints: DataFrame) -> DataFrame:
     """Extractions to go on with: latest row per extraction, active or failed, with an offset beyond 0."""
     from millrace.operators.dedup import latest_per_key
