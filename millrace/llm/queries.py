@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, neardup, packing, spam
-from millrace.session import scratch_path, spread, table
+from millrace.session import delete_path, scratch_path, shared_dir, spread, table
 
 CAPACITY = 2048
 
@@ -27,7 +30,9 @@ def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
     at = (spark.sparkContext.applicationId, d)
     if at not in _KEPT:
         last = docs.agg(F.max("batch_no")).first()[0] or 0
-        index = neardup.HistoryIndex(spark, scratch_path(spark, "history"))
+        path = f"{shared_dir(spark)}/millrace/kept-{uuid.uuid4().hex}"
+        atexit.register(delete_path, spark, path)
+        index = neardup.HistoryIndex(spark, path)
         index.load(spread(docs.where(F.col("batch_no") < last)), log, 0)
         _KEPT[at] = index, last
     index, last = _KEPT[at]
