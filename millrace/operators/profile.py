@@ -264,6 +264,7 @@ def profile(rows: DataFrame, row_id: str, load: str, source: Column, spec: Profi
         right = right.join(hot_, ["src_", "col_", "piece_"], "left").withColumn("salt_", F.pmod(F.hash("load"), F.coalesce("salts", F.lit(1)))).drop("salts").unionByName(spread, allowMissingColumns=True)
     parts = left.groupBy(*keys, "salt").cogroup(right.groupBy("src_", "col_", "piece_", "salt_")).applyInArrow(_piece, _PART)
     values = parts.groupBy("src", "col", "load").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("n_distinct").alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_num").alias("lo_num"), F.max("hi_num").alias("hi_num"), F.array(*[F.max(F.get("q", F.lit(i))) for i in range(len(QUANTILES))]).alias("q"))
+    values = materialise(values, "values")  # one row a load and column; what is usual and the profile both come from it
     usual = values.join(sized.groupBy("src", "col", "load").agg(F.sum("n").alias("filled")), ["src", "col", "load"]).where(F.col("filled") >= TYPICAL_ROWS)
     usual = usual.groupBy("src", "col").agg(F.count("*").alias("typ_loads"), *[F.percentile_approx(c, p, 10_000).alias(x) for x, c, p in (("typ_lo", "lo_num", 0.34), ("typ_hi", "hi_num", 0.66), ("typ_distinct", "n_distinct", 0.34), ("typ_least", "filled", 0.34), ("typ_most", "filled", 0.66))])
     usual = materialise(usual, "usual")
@@ -282,12 +283,19 @@ def departures(profiled: DataFrame, min_rows: int = 50) -> DataFrame:
 
     Each test needs a large effect and one that chance hardly gives: the null share or the share of pattern violations
     by a binomial deviation, the share of values outside the usual range (a value of any other load lies there about once
-a load and side at most, whatever the distribution), the distinct share of nearly unique columns, fewer distinct values
-than the usual count scaled down to the load's size, and the distance of the cumulative curves
-    scaled by the sizes of both sides (Kuiper's for texts, which have no natural order). Where other loads of the source
-    seem to depart too, what they can have added to the effect is taken off, so that one bad load among few does not
-    make its neighbours look bad; of two loads alone neither is called bad.
+    a load and side at most, whatever the distribution), the distinct share of nearly unique columns, fewer distinct values
+    than the usual count scaled down to the load's size, and the distance of the cumulative curves scaled by the sizes of
+    both sides (Kuiper's for texts, which have no natural order). Where other loads of the source seem to depart too, what
+    they can have added to the effect is taken off, so that one bad load among few does not make its neighbours look bad;
+    of two loads alone neither is called bad.
+
+    The bounds by chance: five binomial deviations (6e-7 a test), 2.4 for the scaled Kolmogorov-Smirnov distance
+    (2 exp(-2 * 2.4 ** 2) = 2e-5) and 2.9 for Kuiper's (2 (4 * 2.9 ** 2 - 1) exp(-2 * 2.9 ** 2) = 3e-6), so that a million
+    columns of loads give a few dozen false reports at most, and those only where the least effect is exceeded too. The
+    least effects (0.12 of the rows for nulls and patterns, 0.15 of distinct values, 0.17 and 0.2 of the curves, 0.05 of
+    the values out of range, 0.4 of the distinct values gone) say what "clearly" means for large loads; they are choices.
     """
+    profiled = materialise(profiled, "profile")
     n, o = F.col("n_rows").cast("double"), F.greatest(F.col("o_rows").cast("double"), F.lit(1.0))
     filled, ofilled = F.col("n_rows") - F.col("n_null"), F.col("o_rows") - F.col("o_null")
 
