@@ -117,14 +117,15 @@ def validate(df: DataFrame, contract: Contract) -> DataFrame:
     """Adds ``_violations``, ``_validation_warnings`` (arrays of text), ``_validity`` and ``_contract_score``.
 
     The score is the mean over the contract's fields of 1 (valid), 0 (invalid) or 0.5 (absent but nullable).
-    Constraint ``unique`` counts equal values in the frame, with the counts joined back so that a hot value is
-    pre-aggregated; fields the contract does not know give a warning.
+    Constraint ``unique`` counts equal values in the frame, combined before the shuffle; only values that occur more than
+    once are joined back, so the join is small where the data are sound, and rows of a hot repeated value may be split by
+    adaptive skew handling. Fields the contract does not know give a warning.
     """
     unique = [f.name for f in contract.fields if f.name in df.columns and any(c.kind == "unique" for c in f.constraints)]
     out = df
     for name in unique:
-        counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__k")).agg(F.count("*").alias(f"__n_{name}"))
-        out = out.join(counts, F.col(name) == F.col("__k"), "left").drop("__k")
+        counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__k")).agg(F.count("*").alias("__n")).where("__n > 1")
+        out = out.join(counts, F.col(name) == F.col("__k"), "left").withColumn(f"__n_{name}", F.coalesce("__n", F.lit(1).cast("bigint"))).drop("__k", "__n")
     bad: list[Column] = []
     scores: list[Column] = []
     for f in contract.fields:

@@ -26,8 +26,8 @@ def latest_per_key(df: DataFrame, keys: list[str], time: str, tie: str | None =
 
 
 def anti_load(staging: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Staging rows whose key the target lacks; null key parts match each other."""
-    t = target.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    """Staging rows whose key the target lacks; null key parts match each other. Only the keys of the target are read."""
+    t = target.select(*[F.col(k).alias(f"__{k}") for k in keys])
     match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return staging.join(t, match, "left_anti")
 
