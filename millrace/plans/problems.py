@@ -141,8 +141,32 @@ k AS (SELECT *, CASE WHEN o IS NULL THEN 'column_count' WHEN NOT sound THEN 'bro
  AND regexp_full_match(amount, '-?[0-9]+([.][0-9]+)?') AND active IN ('true', 'false') THEN NULL ELSE 'invalid_value' END AS _quarantine_reason FROM v)
 """
 
+_P4 = r"""
+WITH c AS (SELECT source_id, schema_version, arg_max(contract_json, updated_at) AS j FROM schema_contract WHERE source_id IS NOT NULL AND schema_version IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT *, row_number() OVER w AS pos, lead(schema_version) OVER w AS nextv FROM c WINDOW w AS (PARTITION BY source_id ORDER BY list_transform(string_split(schema_version, '.'), lambda x: CAST(x AS INTEGER)))),
+e AS (SELECT source_id, schema_version, pos, nextv, unnest(json_extract(j, '$.fields[*]')) AS f FROM v),
+t AS (SELECT source_id, schema_version, pos, nextv, f->>'$.name' AS name, lower(trim(f->>'$.type')) AS raw, nullif(trim(f->>'$.description'), '') AS text, coalesce(CAST(f->'$.metadata' AS VARCHAR), '') AS meta FROM e),
+k AS (SELECT *, CASE WHEN raw LIKE '%[]' OR regexp_matches(raw, '^(array|list)') THEN 'array' WHEN regexp_matches(raw, '^(json|dict|object)') THEN 'object' WHEN regexp_matches(raw, '^(datetime|timestamp)') THEN 'timestamp' WHEN regexp_matches(raw, '^date') THEN 'date' WHEN raw LIKE 'bool%' THEN 'boolean'
+ WHEN regexp_matches(raw, '^(float|double|numeric|real|decimal)') THEN 'float' WHEN regexp_matches(raw, '^(u?int|smallint|bigint|long)') THEN 'integer' ELSE 'string' END AS kind FROM t WHERE name IS NOT NULL),
+l AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after, lag(kind) OVER w AS was FROM k WINDOW w AS (PARTITION BY source_id, name ORDER BY pos)),
+s AS (SELECT source_id, schema_version AS ver, name, kind, text, meta FROM l WHERE pos > 1 AND (before IS NULL OR before < pos - 1)),
+x AS (SELECT source_id, nextv AS ver, name, kind, text FROM l WHERE nextv IS NOT NULL AND (after IS NULL OR after > pos + 1)),
+p AS (SELECT s.source_id, s.ver, s.name AS new, x.name AS old, s.kind AS new_kind, x.kind AS old_kind, CASE WHEN contains(s.meta, '"' || x.name || '"') THEN 4 ELSE 0 END + CASE WHEN regexp_replace(lower(s.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(x.name), '[^a-z0-9]', '', 'g') THEN 2 ELSE 0 END + CASE WHEN s.text = x.text THEN 1 ELSE 0 END AS score
+ FROM s JOIN x ON x.source_id = s.source_id AND x.ver = s.ver),
+q AS (SELECT *, row_number() OVER (PARTITION BY source_id, ver, new ORDER BY score DESC, old_kind = new_kind DESC, old) AS a, row_number() OVER (PARTITION BY source_id, ver, old ORDER BY score DESC, old_kind = new_kind DESC, new) AS b FROM p WHERE score > 0),
+r AS (SELECT * FROM q WHERE a = 1 AND b = 1),
+ch AS (SELECT source_id, ver AS schema_version, new AS field_name, 'renamed' AS change_type, old AS old_name, old_kind AS old_type, new_kind AS new_type FROM r
+ UNION ALL SELECT source_id, ver, new, 'type_changed', old, old_kind, new_kind FROM r WHERE old_kind <> new_kind
+ UNION ALL SELECT source_id, ver, name, 'added', NULL, NULL, kind FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = s.source_id AND r.ver = s.ver AND r.new = s.name)
+ UNION ALL SELECT source_id, ver, name, 'removed', name, kind, NULL FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = x.source_id AND r.ver = x.ver AND r.old = x.name)
+ UNION ALL SELECT source_id, schema_version, name, 'type_changed', NULL, was, kind FROM l WHERE before = pos - 1 AND was <> kind)
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_counts, p4_found, p4_changes, p4_lifespans, p4_records, p5_found, p5_messages, p6_found, p6_valid, p6_quarantine, p7_found, p7_profile)}
 ORACLES = {
+    "p4_found": _P4 + "SELECT DISTINCT source_id, schema_version, field_name, change_type FROM ch",
+    "p4_changes": _P4 + "SELECT * FROM ch",
+    "p4_lifespans": _P4 + ", g AS (SELECT *, sum(CASE WHEN before = pos - 1 AND was = kind THEN 0 ELSE 1 END) OVER (PARTITION BY source_id, name ORDER BY pos) AS life FROM l) SELECT source_id, name, any_value(kind) AS type, arg_min(schema_version, pos) AS first_version, min(pos) AS first_pos, max(pos) AS last_pos FROM g GROUP BY source_id, name, life",
     "p6_found": _P6 + "SELECT DISTINCT line_id, _quarantine_reason FROM k WHERE _quarantine_reason IS NOT NULL",
     "p6_valid": _P6 + "SELECT line_id, _batch_id, _source_id, CAST(id AS DECIMAL(38,0)) AS id, username, email, try_cast(age AS INTEGER) AS age, CAST(signup_date AS DATE) AS signup_date, CAST(amount AS DECIMAL(38,10)) AS amount, active = 'true' AS active, note FROM k WHERE _quarantine_reason IS NULL",
     "p3_found": P3_CTE + "SELECT DISTINCT _row_id, ref_field, kind FROM r WHERE kind IS NOT NULL",
