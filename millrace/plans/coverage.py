@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import ids, text, times, validators
-from millrace.operators import contracts, inference, quality, rules, series
+from millrace.operators import contracts, dedup, inference, quality, rules, series
 from millrace.plans import charts, gateway, intents, language, pipeline, planner
 from millrace.plans.ir import Filter, Metric, Order, QueryError, QueryIR, compile_ir, normalise, to_sql
 from millrace.session import delete_path, scratch_path, table
@@ -531,6 +531,44 @@ def null_fields_left(spark, d):
     return df.select("_row_id", F.size(F.map_filter("data", lambda k, v: v.isNotNull())).alias("n"))
 
 
+@query("SELECT _row_id FROM silver_customers WHERE age IS NULL")
+def cond_null_rows(spark, d):
+    df = table(spark, d, "silver_customers")
+    return df.where(rules.field_is_null("age")(df)).select("_row_id")
+
+
+@query("SELECT _row_id FROM silver_customers WHERE age IS NOT NULL AND total_sales > age")
+def cond_not_null_custom(spark, d):
+    df = table(spark, d, "silver_customers")
+    both = rules.all_of(rules.field_is_not_null("age"), rules.custom(lambda frame: F.col("total_sales") > F.col("age")))
+    return df.where(F.coalesce(both(df), F.lit(False))).select("_row_id")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE true END AS flag FROM orders")
+def rule_cast_bool_words(spark, d):
+    words = F.element_at(F.array(*[F.lit(w) for w in ("Yes", "no", "1", "OFF", "maybe", None, " true ")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    df = table(spark, d, "orders").select("o_orderkey", words.alias("flag"))
+    done = rules.apply_rules(df, [rules.Rule("r", rules.RuleType.TRANSFORM, 1, rules.always, rules.cast_to_bool("flag", "null"))])
+    return done.select("o_orderkey", F.col("flag").cast("boolean").alias("flag"))
+
+
+@query("SELECT _row_id, sha256(CAST(to_json({'age': age, 'city': city, 'email': email, 'id': id, 'name': name, 'region': region}) AS VARCHAR)) AS hash FROM bronze_customers")
+def row_hash_wide(spark, d):
+    return table(spark, d, "bronze_customers").select("_row_id", ids.row_hash(*_CUST).alias("hash"))
+
+
+@query("WITH w AS (SELECT _stage, _batch_id, first(_row_id ORDER BY _processed_at NULLS LAST, _row_id) AS winner FROM deduplication_log GROUP BY 1, 2) SELECT l._row_id, l._stage, l._batch_id FROM deduplication_log l JOIN w ON w._stage = l._stage AND w._batch_id = l._batch_id AND w.winner = l._row_id")
+def claims_won(spark, d):
+    """Rows of the log whose claim on their stage and batch won."""
+    log = table(spark, d, "deduplication_log")
+    return dedup.won_rows(log, log, ["_stage", "_batch_id"], "_row_id", "_processed_at").select("_row_id", "_stage", "_batch_id")
+
+
+@query("SELECT city, round(sum(total_sales), 2) AS sum_total_sales FROM silver_customers WHERE age > 55 GROUP BY 1")
+def ask_numeric_filter(spark, d):
+    return _ask("Show total sales by city where age is above 55", "silver_customers", table(spark, d, "silver_customers").select("region", "city", "age", "total_sales")).withColumn("sum_total_sales", F.round("sum_total_sales", 2))
+
+
 @query("SELECT url AS t, url SIMILAR TO 'https?://[^[:space:]/$.?#].[^[:space:]]*' AS ok_url, uuid_text AS u, regexp_full_match(uuid_text, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS ok_uuid FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'http://a.example/' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'ftp://x/' || o_orderkey ELSE 'none' || o_orderkey END AS url, CASE WHEN o_orderkey % 2 = 0 THEN '00000000-0000-0000-0000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE 'u' || o_orderkey END AS uuid_text FROM orders)")
 def constraint_url_uuid(spark, d):
     k = F.col("o_orderkey")
