@@ -213,7 +213,9 @@ def _judged(batch: list[tuple[pd.DataFrame, np.ndarray]]):
         spread, rate = g["fit_spread"].iloc[0], g["fit_rate"].iloc[0]
         return None if np.isnan(spread) else (float(spread), float(rate))
 
-    return judge([(g["_metric"].iloc[0], g["_value"].to_numpy(dtype=np.float64)) for g, _ in batch], [g["stuck"].to_numpy(dtype=bool) for g, _ in batch], [fixed(g) for g, _ in batch])
+    values = [g["_value"].to_numpy(dtype=np.float64) for g, _ in batch]
+    stuck = [stuck_readings(v) if pd.isna(g["stuck"].iloc[0]) else g["stuck"].to_numpy(dtype=bool) for v, (g, _) in zip(values, batch)]
+    return judge([(g["_metric"].iloc[0], v) for v, (g, _) in zip(values, batch)], stuck, [fixed(g) for g, _ in batch])
 
 
 def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,23 +297,25 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     long = materialise(rows.groupBy("series").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).where(F.col("n") > BLOCK_READINGS), "long")
     blocks = F.ceil(F.col("n") / (BLOCK_READINGS / 2))
     wide = long.select("series", "lo", F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) / blocks).cast("bigint") + 1).alias("width"))
+
+    def sorted_blocks(df: DataFrame) -> DataFrame:
+        ready = df.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "stuck", "fit_rate", "fit_spread", "series", "group", "margin")
+        return ready.repartition("group").sortWithinPartitions("group", "_detected_at", "_anomaly_id")
+
+    # a series in one block: its task sees the whole of it and takes runs, repeats and spread there, by the same rules
+    number, none = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    short = rows.join(wide.select("series"), "series", "left_anti")
+    one = sorted_blocks(short.withColumns({"group": F.col("series"), "margin": F.lit(False), "stuck": none, "fit_rate": number, "fit_spread": number})).mapInPandas(_run, _OUT)
+    if long.isEmpty():
+        return one
     offset = (F.col("at") - F.col("lo")) / F.col("width")
-    placed = rows.join(wide, "series", "left").withColumn("block", F.coalesce(F.floor(offset), F.lit(0)))
-    placed = mark_stuck(placed)
+    placed = mark_stuck(rows.join(wide, "series").withColumn("block", F.floor(offset)))
     block = F.col("block")
     part = offset - block
     edge = 2 * MARGIN / (BLOCK_READINGS / 2)
     own = F.struct(block.alias("block"), F.lit(False).alias("margin"))
     ahead = F.when(part >= 1 - edge, F.struct((block + 1).alias("block"), F.lit(True).alias("margin")))
     behind = F.when(part < edge, F.struct((block - 1).alias("block"), F.lit(True).alias("margin")))
-    spread = placed.withColumn("to", F.explode(F.array_compact(F.array(own, ahead, behind)))).withColumn("group", F.concat_ws("\u0001", "series", F.col("to.block").cast("string")))
-
-    def sorted_blocks(df: DataFrame) -> DataFrame:
-        ready = df.select("_anomaly_id", "_source_id", "_metric", "_detected_at", "_value", "stuck", "fit_rate", "fit_spread", "series", "group", F.col("to.margin").alias("margin"))
-        return ready.repartition("group").sortWithinPartitions("group", "_detected_at", "_anomaly_id")
-
-    unknown = spread.withColumn("fit_spread", F.lit(None).cast("double"))
-    if long.isEmpty():  # the spread of a series in one block is taken there
-        return sorted_blocks(unknown).mapInPandas(_run, _OUT)
-    fits = materialise(_series_spread(sorted_blocks(unknown.join(long.select("series"), "series", "left_semi"))), "fits")
-    return sorted_blocks(spread.join(fits, "series", "left")).mapInPandas(_run, _OUT)
+    cut = placed.withColumn("to", F.explode(F.array_compact(F.array(own, ahead, behind)))).withColumns({"group": F.concat_ws("\u0001", "series", F.col("to.block").cast("string")), "margin": F.col("to.margin")})
+    fits = materialise(_series_spread(sorted_blocks(cut.withColumn("fit_spread", number))), "fits")
+    return one.unionByName(sorted_blocks(cut.join(fits, "series", "left")).mapInPandas(_run, _OUT))

@@ -60,9 +60,13 @@ def bronze_again(table: DataFrame, source: str | None = None, batch: str | None
     return rows.select(F.col("_row_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
+#: White space of all kinds, as Unicode has it.
+_SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_text(c: Column) -> Column:
-    """Line breaks and tabs to spaces, runs of white space to one, ends cut, blank to null."""
-    flat = X.strip(X.collapse(F.translate(c, "\n\r\t", "   ")))
+    """Each run of white space becomes one space, ends are cut, blank becomes null; one plain pattern a value."""
+    flat = F.trim(F.regexp_replace(F.translate(c, _SPACES, " " * len(_SPACES)), " {2,}", " "))
     return F.when(flat != "", flat)
 
 

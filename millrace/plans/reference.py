@@ -12,7 +12,7 @@ from millrace.functions import ids, times
 from millrace.operators import contracts, dedup, inference, quality, rules, series
 from millrace.plans import charts, gateway, pipeline, planner
 from millrace.plans.ir import PERIOD, Filter, Metric, Order, QueryIR, Ratio, compile_ir
-from millrace.session import scratch_path, table
+from millrace.session import scratch_path, spread, table
 from millrace.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -450,7 +450,7 @@ _BRONZE = contracts.Contract("bronze", "1.0.0", (
 
 
 def _raw(spark, d):
-    return pipeline.bronze(table(spark, d, "bronze_customers").select("id", "name", "email", "age", "region", "city"), "crm", 0, F.lit("2025-01-01").cast("timestamp"))
+    return pipeline.bronze(spread(table(spark, d, "bronze_customers").select("id", "name", "email", "age", "region", "city")), "crm", 0, F.lit("2025-01-01").cast("timestamp"))
 
 
 def _outcome(spark, d):
